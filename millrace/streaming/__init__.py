@@ -1,0 +1 @@
+"""The engine has no streaming operator: every fit is over a bounded DataFrame."""
