@@ -79,8 +79,8 @@ def fit_local(df: DataFrame, features: Sequence[str], label: str, n: int, beta:
         fit = iterate(algo, evaluate, start, max_iter, tol, learning_rate)
         return pd.DataFrame({"beta": [fit.beta], "history": [fit.loss_history], "status": [fit.status], "path": [[v for b in fit.path for v in b]]})
 
-    row = (df.select(*(F.col(f).cast("double").alias(f) for f in names), F.col(label).cast("double").alias("_label"))
-           .groupBy(F.lit(0)).applyInPandas(run, "beta array<double>, history array<double>, status string, path array<double>").first())
+    row = (df.select(*(F.col(f).cast("double").alias(f) for f in names), F.col(label).cast("double").alias("_label"), F.lit(0).alias("_all"))
+           .groupBy("_all").applyInPandas(run, "beta array<double>, history array<double>, status string, path array<double>").first())
     k, flat = len(names), list(row["path"])
     return FitResult(algo, list(row["beta"]), list(row["history"]), len(row["history"]), row["status"], [flat[i : i + k] for i in range(0, len(flat), k)])
 
