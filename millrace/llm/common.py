@@ -1,4 +1,4 @@
-"""Shared pieces: written intermediate tables, text keys."""
+"""Shared pieces: written intermediate tables, text keys, bounded samples."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there, an executor lost later costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,3 +35,16 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(
         F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
 
+
+def crc_fold(id_col: Column) -> Column:
+    """crc32(id as text) mod 5; 0 for a null id."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5, F.lit(0))
+
+
+def bounded_sample(df: DataFrame, text_col: str, bound: int) -> DataFrame:
+    """Rows with distinct texts, about ``bound`` of them at most, chosen by a hash of the text: copies cannot crowd it."""
+    n = df.count()
+    chosen = df
+    if n > bound:
+        chosen = df.filter(F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
+    return chosen.dropDuplicates([text_col])
