@@ -7,40 +7,105 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import neighbours
+from .bpe import encode_documents
 from .exact_dedup import exact_dedup
+from .langid import identify
 from .line_dedup import line_dedup
+from .minhash import near_dedup
+from .packing import pack
+from .secret_scan import scan, span_text
+from .substring import repeated_passages
+from .toxicity import score_toxicity
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
+    return table(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir), width=2, percent=80)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(span_text(F.col("spans"), True), 256).alias("base_sha256"), span_text(F.col("spans"), False).alias("spans"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer())
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(documents(spark, sf_dir), tokenizer())
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1,
         "op2_exact_dedup": op2,
+        "op3_toxicity": op3,
+        "op4_secret_scan": op4,
+        "op5_packing": op5,
+        "op6_nearest_neighbours": op6,
+        "op7_substring_dedup": op7,
+        "op8_bpe": op8,
+        "op9_language_id": op9,
         "op10_line_dedup": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     low = LOWER.format("coalesce(text, '')")
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return {
         "op2_exact_dedup": (
             f"WITH t AS (SELECT doc_id, {low} AS n FROM documents), g AS (SELECT n, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY n) "
             "SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM t JOIN g USING (n)"),
         "op10_line_dedup": (
             "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents), "
-            f"k AS (SELECT doc_id, pos, line, {LOWER.format('trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))')} AS key FROM l), "
+            f"k AS (SELECT doc_id, pos, line, {LOWER.format(f'trim(line, {blanks})')} AS key FROM l), "
             "f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10) "
             "SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256 "
             "FROM k LEFT JOIN f ON k.key = f.key GROUP BY doc_id"),
