@@ -44,8 +44,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """The rows of df that stay, with df's columns; rows repeated with one id and text give one."""
-    kept = exact_dedup(df, id_col, text_col, **kwargs).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    joined = df.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (digest == F.col("__sha")), "left_semi")
-    return joined
+    """The rows of df that stay, with df's columns whatever their names; rows repeated with the kept id all stay."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = exact_dedup(df, id_col, text_col, **kwargs).filter("kept").select(F.col(id_col).alias("kept_id"), "text_sha256").distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(ascii_lower(text), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("text_sha256"))
+    return rows.join(kept, same, "left_semi").select("row.*")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, ascii_lower
 
+#: Tasks that share the rows of one line.
+SALTS = 8
+
 
 def line_hashes(text: Column, min_chars: int) -> Column:
     """The MD5 of each line's key, null where the key is shorter than min_chars."""
@@ -33,24 +36,26 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     line, whose key is empty and never counted. A document that loses all its lines keeps
     empty text. Other columns pass through; ones named n_lines or n_dropped are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     # A row is found again by id and text, so that rows that share an id cannot mix.
-    keyed = df.withColumns({"__id": F.col(id_col), "__key": F.xxhash64(text), "__text": text})
-    hashed = keyed.select("__id", "__key", line_hashes(F.col("__text"), min_chars).alias("hashes"))
+    source = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(source).alias("key"), source.alias("text"))
+    hashed = rows.select("id", "key", line_hashes(F.col("text"), min_chars).alias("hashes"))
     frequent = (hashed.select(F.explode(F.array_distinct("hashes")).alias("h")).filter("h IS NOT NULL")
                 .groupBy(F.unhex("h").alias("h")).agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= threshold).select("h"))
-    lines = hashed.select("__id", "__key", F.posexplode("hashes").alias("pos", "h")).filter("h IS NOT NULL").withColumn("h", F.unhex("h"))
-    lost = lines.join(frequent, "h", "left_semi").groupBy("__id", "__key").agg(F.collect_set("pos").alias("lost"))
-    lost = lost.select(F.col("__id").alias("__id2"), F.col("__key").alias("__key2"), "lost")
-    both = keyed.join(lost.withColumnRenamed("lost", "__lost"), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__key") == F.col("__key2")), "left")
-    split = F.split(F.col("__text"), "\n")
-    both = both.withColumn("__lines", split)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
-    kept = F.array_join(F.transform(stay, lambda i: F.col("__lines")[i]), "\n")
-    out = both.withColumns({
-        text_col: F.when(F.col("__lost").isNull(), F.col("__text")).otherwise(kept),
-        "n_lines": F.size("__lines").cast("bigint"),
-        "n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("bigint"),
-    })
-    out = out.withColumn("n_dropped", F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.col("n_dropped")).cast("bigint"))
-    return out.drop("__id", "__key", "__text", "__id2", "__key2", "__lost", "__lines")
+    lines = hashed.select("id", "key", F.posexplode("hashes").alias("pos", "h")).filter("h IS NOT NULL").withColumn("h", F.unhex("h"))
+    # A line may be in every document: the rows of a hash are dealt over SALTS tasks, each with its own copy of the hash.
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("id", "key", "pos"), F.lit(SALTS)).cast("int"))
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = lines.join(frequent, ["h", "salt"], "left_semi").groupBy("id", "key").agg(F.collect_set("pos").alias("lost"))
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("key").alias("lost_key"), "lost")
+    both = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("key") == F.col("lost_key")), "left")
+    both = both.select("row", "text", "lost", F.split("text", "\n").alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.array_join(F.transform(stay, lambda i: F.col("lines")[i]), "\n")
+    new = {
+        text_col: F.when(F.col("lost").isNull(), F.col("text")).otherwise(kept),
+        "n_lines": F.size("lines").cast("bigint"),
+        "n_dropped": F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size("lost")).cast("bigint"),
+    }
+    same = [c for c in df.columns if c not in new]
+    return both.select(*(F.col("row")[c].alias(c) for c in same), *(c.alias(n) for n, c in new.items()))

@@ -132,18 +132,20 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of its text replaced by mark (touching or overlapping spans by one). Null text stays null."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = gathered(secret_spans(df, id_col, text_col)).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    joined = df.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
+    source = F.coalesce(F.col(text_col), F.lit(""))
+    found = gathered(secret_spans(df, id_col, text_col)).toDF("span_id", "span_key", "spans")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(source).alias("key"), F.col(text_col).alias("text"))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left")
 
     def piece(s: Column) -> Column:
-        return F.when(s["start"] >= s["done"], F.concat(
-            F.substring(F.col(text_col), (s["done"] + 1).cast("int"), (s["start"] - s["done"]).cast("int")),
-            F.when((s["start"] > s["done"]) | (s["start"] == 0), F.lit(mark)).otherwise(F.lit("")))).otherwise(F.lit(""))
-
-    rest = F.substring(F.col(text_col), (F.array_max(F.transform("__spans", lambda s: s["end"])) + 1).cast("int"), F.char_length(text_col))
-    clean = F.concat(F.array_join(F.transform("__spans", piece), ""), rest)
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean)).select(*df.columns)
+        """What stands between the spans before and this one, and the mark; nothing for a span that goes on from one before."""
+        new = (s["start"] > s["done"]) | (s["start"] == 0)
+        return F.when(new, F.concat(F.substring(F.col("text"), (s["done"] + 1).cast("int"), (s["start"] - s["done"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))
+
+    rest = F.substring(F.col("text"), (F.array_max(F.transform("spans", lambda s: s["end"])) + 1).cast("int"), F.char_length("text"))
+    clean = F.concat(F.array_join(F.transform("spans", piece), ""), rest)
+    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
+    return joined.select(*((new if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))
 
 
 def span_text(spans: Column, base_only: bool) -> Column:

@@ -275,25 +275,11 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
-        vocabulary = Vocabulary(model.chosen) if model else None
-        memo: dict[tuple, tuple] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
             scores, proofs = [], []
             for data in texts(batch.column(2)):
-                if model is None:
-                    scores.append(0.0)
-                    proofs.append([])
-                    continue
-                bag = vocabulary.bag(data)
-                key = tuple(sorted(bag.items()))
-                if key not in memo:
-                    near = model.index.search(model.vector(bag), NEIGHBOURS)
-                    proof = [{"doc_id": int(model.ids[n]), "similarity": s, "toxic": int(model.labels[n])} for n, s in near[:EVIDENCE]]
-                    if len(memo) >= MEMO // 10:
-                        memo.clear()
-                    memo[key] = (model.score(near), proof)
-                s, proof = memo[key]
+                s, proof = scorer(data)
                 scores.append(s)
                 proofs.append(proof)
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
@@ -303,7 +289,38 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return source.mapInArrow(run, schema)
 
 
-def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """The rows of df whose id no row is predicted toxic under, with df's columns."""
-    bad = score_toxicity(df, labels, id_col, text_col, **kwargs).filter("predicted = 1").select(F.col(id_col).alias("__id")).distinct()
-    return df.join(bad, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+class Scorer:
+    """Score and evidence of whole texts; documents with equal bags of terms are searched once."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.memo = model, {}
+        self.vocabulary = Vocabulary(model.chosen) if model else None
+
+    def __call__(self, data: bytes) -> tuple[float, list[dict]]:
+        model = self.model
+        if model is None:
+            return 0.0, []
+        bag = self.vocabulary.bag(data)
+        key = tuple(sorted(bag.items()))
+        if key not in self.memo:
+            near = model.index.search(model.vector(bag), NEIGHBOURS)
+            if len(self.memo) >= MEMO // 10:
+                self.memo.clear()
+            self.memo[key] = model.score(near), [{"doc_id": int(model.ids[n]), "similarity": s, "toxic": int(model.labels[n])} for n, s in near[:EVIDENCE]]
+        return self.memo[key]
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = EXAMPLES_PER_LABEL) -> DataFrame:
+    """The rows of df that are not predicted toxic, with df's columns: rows are judged where they are, none is shuffled."""
+    model = fit(df, labels, id_col, text_col, label_col, per_label)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(data)[0] < 0.5 for data in texts(batch.column(at))], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
