@@ -100,22 +100,22 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id, n, digest of the set (null without shingles), signature."""
-    schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sig", BinaryType())])
+    """id, hash of the text, n, digest of the set (null without shingles), signature."""
+    schema = StructType([StructField("id", LongType()), StructField("th", LongType()), StructField("n", LongType()), StructField("digest", BinaryType()), StructField("sig", BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             n, digests, sigs = [], [], []
-            for data in texts(batch.column(1)):
+            for data in texts(batch.column(2)):
                 s = shingles(data, width)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "th", "n", "digest", "sig"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, schema)
 
 
 def order_keys(sigs: np.ndarray) -> np.ndarray:
@@ -303,14 +303,13 @@ def near_links(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
         return None
     regions = components(coarse).select("id", F.col("root").alias("region"))
     degree = coarse.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    members = saved(regions.join(reps.select("id", "n"), "id").join(degree, "id"), "members")
+    members = saved(regions.join(reps.select("id", "n", "th"), "id").join(degree, "id"), "members")
     sizes = members.groupBy("region").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
         F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
-    text = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = members.select("id", "region").join(sizes, "region")
-    # Repeated rows of an id that differ in text: the representative's own set is the one of its sketch.
-    rows = saved(placed.join(text, "id").dropDuplicates(["id", "region"]), "region_texts")
+    text = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    placed = members.select("id", "th", "region").join(sizes, "region")
+    rows = saved(placed.join(text, ["id", "th"]).dropDuplicates(["id", "th"]).drop("th"), "region_texts")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     at = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     first = rows.withColumn("block", F.explode(at)).withColumns({"cls": F.col("id"), "probe": F.lit(True)})
@@ -340,24 +339,24 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     Words are runs of non-blanks after lower-casing A-Z; a text of fewer than ``width`` words is
     one shingle; null or blank text has none, links with nothing and is kept. Documents link
     where the Jaccard similarity of their sets is percent/100 or more; component_id is the
-    smallest id reachable. Repeated rows of one id link by their texts like others and are all
-    kept if the id is. A null id links with nothing and its component is null. Ids must be
+    smallest id reachable. Repeated rows of one id are all kept if the id is; of different texts
+    under one id one (by hash) is compared, and the others share its class. A null id links with nothing and its component is null. Ids must be
     integers. Other columns are not read. An empty table gives an empty result.
     """
     known = saved(sketches(df, id_col, text_col, width), "sketches")
     sets = known.filter("digest IS NOT NULL AND id IS NOT NULL")
     one = sets.groupBy("digest").agg(F.min("id").alias("rep"))
     # Copies collapse before anything else; from here on there is one row per distinct set.
-    picked = sets.join(one.withColumnRenamed("rep", "id"), ["digest", "id"]).dropDuplicates(["digest", "id"])
+    picked = sets.join(one.withColumnRenamed("rep", "id"), ["digest", "id"]).groupBy("id").agg(F.min(F.struct("th", "n", "digest", "sig")).alias("s")).select("id", "s.*")
 
     def shorten(batches):
         import pyarrow as pa
 
         for batch in batches:
             sigs = [short(np.frombuffer(s, dtype=np.uint32)).tobytes() for s in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.binary())], names=["id", "n", "digest", "sig", "sig8"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigs, pa.binary())], names=["id", "th", "n", "sig", "sig8"])
 
-    reps = saved(picked.select("id", "n", "digest", "sig").mapInArrow(shorten, "id long, n long, digest binary, sig binary, sig8 binary"), "reps")
+    reps = saved(picked.select("id", "th", "n", "sig").mapInArrow(shorten, "id long, th long, n long, sig binary, sig8 binary"), "reps")
     labels = near_links(df, reps, id_col, text_col, width, percent)
     classes = one.withColumn("component", F.col("rep"))
     if labels is not None:

@@ -27,11 +27,13 @@ from .langid import WORD
 
 #: Bounds of the fit: examples of each label (expected), and terms.
 EXAMPLES_PER_LABEL, MAX_TERMS = 4_000, 1_000
-#: A term is kept if its frequencies under the labels are this many standard errors apart, and it is in so many examples.
-LEAST_Z, LEAST_EXAMPLES = 6.0, 5
+#: A term is kept if the share of toxic among rows with it is at least LEAST_SHARE by Wilson's lower bound of ERRORS standard errors.
+LEAST_SHARE, ERRORS = 0.5, 3.0
 #: Lengths of word beginnings that are terms beside the words.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
+#: Votes at the prior share that stand beside the neighbours' ones.
+PRIOR_VOTES = 4.0
 MEMO = 200_000
 
 
@@ -127,11 +129,12 @@ class Model:
         return {t: w / length for t, w in v.items()} if length else {}
 
     def vote(self, near: list[tuple[int, float]]) -> float:
-        """Log odds of the distance-weighted votes, with one vote at the prior."""
-        votes = [self.prior, 1.0 - self.prior]
+        """Log odds of the distance-weighted votes, with PRIOR_VOTES at the prior."""
+        votes = [PRIOR_VOTES * self.prior, PRIOR_VOTES * (1.0 - self.prior)]
+        clean = self.weight[0] / self.weight[1] if self.weight[1] else 1.0
         for n, s in near:
             y = int(self.labels[n])
-            votes[1 - y] += self.weight[y] / (0.05 + (1.0 - s))
+            votes[1 - y] += (1.0 if y else clean) * s / (0.05 + (1.0 - s))
         return math.log(votes[0] / votes[1])
 
     def score(self, near: list[tuple[int, float]]) -> float:
@@ -153,8 +156,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return (float(beta[0]), float(beta[1])) if beta[1] > 0.05 else (0.0, 1.0)
 
 
-def choose_terms(examples: DataFrame, n: dict[int, int]) -> dict[str, int]:
-    """Terms whose shares of the examples under the two labels differ clearly. examples: text, toxic."""
+def choose_terms(examples: DataFrame, weight: tuple[float, float]) -> dict[str, int]:
+    """Terms that go with label 1 clearly: what is common to clean text says nothing of a document. examples: text, toxic."""
 
     def count(batches):
         import pyarrow as pa
@@ -168,12 +171,11 @@ def choose_terms(examples: DataFrame, n: dict[int, int]) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([int(k[1] == 1) * total[k] for k in keys], pa.int64()), pa.array([int(k[1] == 0) * total[k] for k in keys], pa.int64())], names=["term", "a", "b"])
 
     counts = examples.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    p, q = F.col("a") / F.lit(float(max(n[1], 1))), F.col("b") / F.lit(float(max(n[0], 1)))
-    pooled = (F.col("a") + F.col("b") + 1.0) / F.lit(float(n[0] + n[1] + 2))
-    error = F.sqrt(pooled * (F.lit(1.0) - pooled) * F.lit(1.0 / max(n[1], 1) + 1.0 / max(n[0], 1)))
-    # An upper-tail test: what goes with label 1. A term common to clean text says nothing of a document.
-    top = counts.filter(F.col("a") + F.col("b") >= LEAST_EXAMPLES).withColumn("z", (p - q) / error).filter(F.col("z") >= LEAST_Z)
-    rows = top.orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term").collect()
+    n, up = F.col("a") + F.col("b"), F.col("a") * F.lit(float(weight[1]))
+    p, z2 = up / (up + F.col("b") * F.lit(float(weight[0]))), F.lit(ERRORS**2)
+    low = (p + z2 / (2 * n) - F.lit(ERRORS) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    top = counts.filter("a > 0").withColumn("low", low).filter(F.col("low") >= LEAST_SHARE)
+    rows = top.orderBy(F.desc("low"), "term").limit(MAX_TERMS).select("term").collect()
     return {r["term"]: i for i, r in enumerate(rows)}
 
 
@@ -215,13 +217,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         n = {0: 0, 1: 0} | {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
         if not n[0] + n[1]:
             return None
-        chosen = choose_terms(rows.select("__text", "__y"), n)
+        weight = tuple(total[y] / max(1, n[y]) for y in (0, 1))
+        chosen = choose_terms(rows.select("__text", "__y"), weight)
         seen = bags(rows, chosen)
     finally:
         rows.unpersist()
     frequency, documents = document_frequencies(docs.select(text_col), chosen)
     idf = np.log((documents + 1.0) / (frequency + 1.0)) + 1.0
-    weight = tuple(total[y] / max(1, n[y]) for y in (0, 1))
     prior = (total[1] + 0.5) / (total[0] + total[1] + 1.0)
     model = Model(chosen, idf, BlockMaxIndex([]), np.array([y for _, y, _ in seen]), [i for i, _, _ in seen], weight, prior)
     vectors = [model.vector(bag) for _, _, bag in seen]
