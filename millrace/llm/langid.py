@@ -28,7 +28,7 @@ WORD = re.compile(r"[^\W\d_]+")
 TRAIN_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 60_000
 LONGEST = 5
 #: Distinct blank-free tokens a worker remembers; a full memo is emptied.
-MEMO = 200_000
+MEMO = 600_000
 UNKNOWN = "und"
 
 
@@ -47,7 +47,7 @@ class Model:
             table = self.grams[n - 1]
             found = [g for i in range(len(marked) - n + 1) if (g := table.get(marked[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found) / len(found)
         return np.zeros(len(self.langs))
 
 

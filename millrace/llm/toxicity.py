@@ -34,7 +34,7 @@ PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
 #: Votes at the prior share that stand beside the neighbours' ones.
 PRIOR_VOTES = 4.0
-MEMO = 200_000
+MEMO = 600_000
 
 
 def terms(word: str) -> list[str]:
