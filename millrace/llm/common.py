@@ -48,3 +48,13 @@ def bounded_sample(df: DataFrame, text_col: str, bound: int) -> DataFrame:
     if n > bound:
         chosen = df.filter(F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
     return chosen.dropDuplicates([text_col])
+
+
+_KEPT: dict[str, tuple[str, object]] = {}
+
+
+def kept(kind: str, key: str, make):
+    """One object of a kind for a Python worker, which Spark reuses from task to task; made again when its key changes."""
+    if _KEPT.get(kind, ("", None))[0] != key:
+        _KEPT[kind] = (key, make())
+    return _KEPT[kind][1]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import texts
-from .common import bounded_sample, crc_fold
+from .common import bounded_sample, crc_fold, kept
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled rows (expected), words, and n-grams of each length.
@@ -151,13 +152,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     held = crc_fold(F.col(id_col)) == 0
     labelled = df.filter(~held & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
     model = fit(bounded_sample(labelled, text_col, train_rows), text_col, lang_col)
-    shared = spark.sparkContext.broadcast(model)
+    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = StructType([*df.select(F.col(id_col), held.alias("held_out")).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(shared.value) if shared.value else None
+        scorer = kept("language", token, lambda: Scorer(shared.value)) if shared.value else None
         for batch in batches:
             out = [scorer.score(data) if scorer else (UNKNOWN, 0.0) for data in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())],

@@ -13,6 +13,7 @@ with a documented bound, so the index has a bounded size whatever the corpus and
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .bpe import texts
-from .common import crc_fold
+from .common import crc_fold, kept
 from .langid import WORD
 
 #: Bounds of the fit: examples of each label (expected), and terms.
@@ -182,10 +183,12 @@ def choose_terms(examples: DataFrame, weight: tuple[float, float]) -> dict[str,
 def document_frequencies(docs: DataFrame, chosen: dict[str, int]) -> tuple[np.ndarray, int]:
     """Of the chosen terms over all documents, and the number of documents."""
 
+    token = uuid.uuid4().hex
+
     def count(batches):
         import pyarrow as pa
 
-        vocabulary, total, n = Vocabulary(chosen), np.zeros(len(chosen) + 1, dtype=np.int64), 0
+        vocabulary, total, n = kept("terms", token, lambda: Vocabulary(chosen)), np.zeros(len(chosen) + 1, dtype=np.int64), 0
         for batch in batches:
             for data in texts(batch.column(0)):
                 for t in vocabulary.bag(data):
@@ -269,7 +272,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     spark = df.sparkSession
     held = crc_fold(F.col(id_col)) == 0
     model = fit(df, labels, id_col, text_col, label_col, per_label)
-    shared = spark.sparkContext.broadcast(model)
+    shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     evidence = ArrayType(StructType([StructField("doc_id", LongType()), StructField("similarity", DoubleType()), StructField("toxic", IntegerType())]))
     source = df.select(F.col(id_col), held.alias("held_out"), F.col(text_col))
     schema = StructType([*source.schema.fields[:2], StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("evidence", evidence)])
@@ -277,7 +280,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(shared.value)
+        scorer = kept("toxicity", token, lambda: Scorer(shared.value))
         for batch in batches:
             scores, proofs = [], []
             for data in texts(batch.column(2)):
@@ -315,13 +318,13 @@ class Scorer:
 def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = EXAMPLES_PER_LABEL) -> DataFrame:
     """The rows of df that are not predicted toxic, with df's columns: rows are judged where they are, none is shuffled."""
     model = fit(df, labels, id_col, text_col, label_col, per_label)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = df.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(shared.value)
+        scorer = kept("toxicity", token, lambda: Scorer(shared.value))
         for batch in batches:
             yield batch.filter(pa.array([scorer(data)[0] < 0.5 for data in texts(batch.column(at))], pa.bool_()))
 
