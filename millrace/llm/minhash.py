@@ -309,7 +309,8 @@ def near_links(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
         F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"))
     text = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     placed = members.select("id", "th", "region").join(sizes, "region")
-    rows = saved(placed.join(text, ["id", "th"]).dropDuplicates(["id", "th"]).drop("th"), "region_texts")
+    # Always by a shuffle: a broadcast of the members where they are few would not outlast growth.
+    rows = saved(placed.hint("merge").join(text, ["id", "th"]).dropDuplicates(["id", "th"]).drop("th"), "region_texts")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     at = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     first = rows.withColumn("block", F.explode(at)).withColumns({"cls": F.col("id"), "probe": F.lit(True)})
