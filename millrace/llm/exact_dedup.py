@@ -49,4 +49,4 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **k
     kept = exact_dedup(df, id_col, text_col, **kwargs).filter("kept").select(F.col(id_col).alias("kept_id"), "text_sha256").distinct()
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(ascii_lower(text), 256).alias("sha"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("text_sha256"))
-    return rows.join(kept, same, "left_semi").select("row.*")
+    return rows.join(kept.hint("merge"), same, "left_semi").select("row.*")

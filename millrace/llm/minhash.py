@@ -373,4 +373,4 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **k
     """The rows of df whose id is kept, with df's columns whatever their names."""
     gone = near_dedup(df, id_col, text_col, **kwargs).filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct()
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    return rows.join(gone, F.col("id") == F.col("gone_id"), "left_anti").select("row.*")
+    return rows.join(gone.hint("merge"), F.col("id") == F.col("gone_id"), "left_anti").select("row.*")

@@ -135,7 +135,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark:
     source = F.coalesce(F.col(text_col), F.lit(""))
     found = gathered(secret_spans(df, id_col, text_col)).toDF("span_id", "span_key", "spans")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(source).alias("key"), F.col(text_col).alias("text"))
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left")
+    joined = rows.join(found.hint("merge"), F.col("id").eqNullSafe(F.col("span_id")) & (F.col("key") == F.col("span_key")), "left")
 
     def piece(s: Column) -> Column:
         """What stands between the spans before and this one, and the mark; nothing for a span that goes on from one before."""
