@@ -102,6 +102,7 @@ def secret_sql() -> str:
     size = len(ALPHABET)
     found = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS kind, regexp_extract_all(t, {quoted[k]}) AS m, string_split_regex(t, {quoted[k]}) AS g FROM d" for i, k in enumerate(KINDS))
+    log_p = f"ln(({{n}} + {size}.0 * (sum({{n}}) OVER (PARTITION BY b) + 1.0) / (sum({{n}}) OVER () + {size}.0)) / (sum({{n}}) OVER (PARTITION BY a) + {size}.0))"
     clean = "t"
     for k in KINDS[:3]:
         clean = f"regexp_replace({clean}, {quoted[k]}, ' ', 'g')"
@@ -115,9 +116,9 @@ def secret_sql() -> str:
         "samples AS (SELECT h AS v, 1 AS r FROM b UNION ALL SELECT b, 1 FROM b UNION ALL SELECT translate(upper(b), '+/', '23'), 1 FROM b "
         f"UNION ALL SELECT unnest(regexp_extract_all({clean}, '[A-Za-z_-]{{4,}}')), 0 FROM (SELECT DISTINCT t FROM d)), "
         "counts AS (SELECT pair, sum(r) AS n1, sum(1 - r) AS n0 FROM (SELECT r, unnest(list_transform(range(1, length(v)), lambda i: substring(v, i, 2))) AS pair FROM samples) GROUP BY pair), "
-        f"letters AS (SELECT unnest(string_split('{ALPHABET}', '')) AS c), grid AS (SELECT x.c AS a, x.c || y.c AS pair FROM letters x, letters y), "
-        f"model AS (SELECT pair, ln((coalesce(n1, 0) + 1.0) / (sum(coalesce(n1, 0)) OVER (PARTITION BY a) + {size}.0)) - ln((coalesce(n0, 0) + 1.0) / (sum(coalesce(n0, 0)) OVER (PARTITION BY a) + {size}.0)) AS ratio "
-        "FROM grid LEFT JOIN counts USING (pair)), "
+        f"letters AS (SELECT unnest(string_split('{ALPHABET}', '')) AS c), grid AS (SELECT x.c AS a, y.c AS b, x.c || y.c AS pair FROM letters x, letters y), "
+        "steps AS (SELECT a, b, pair, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM grid LEFT JOIN counts USING (pair)), "
+        f"model AS (SELECT pair, {log_p.format(n='n1')} - {log_p.format(n='n0')} AS ratio FROM steps), "
         "judged AS (SELECT doc_id, s, e, avg(ratio) AS ratio FROM (SELECT doc_id, s, e, unnest(list_transform(range(1, length(v)), lambda i: substring(v, i, 2))) AS pair FROM a WHERE kind = 3) JOIN model USING (pair) GROUP BY doc_id, s, e), "
         f"spans AS (SELECT doc_id, kind, s, e FROM a WHERE kind < 3 UNION ALL SELECT doc_id, 3, s, e FROM judged j WHERE ratio >= {MIN_RATIO} "
         "AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = j.doc_id AND a.kind < 3 AND a.s < j.e AND a.e > j.s)) "

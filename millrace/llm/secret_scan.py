@@ -72,18 +72,23 @@ def labelled_samples(docs: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def train(samples: DataFrame) -> DataFrame:
-    """pair, ratio: ln P(random) - ln P(ordinary) of the step, both with one added count. len(ALPHABET)^2 rows."""
+    """pair, ratio: ln P(random) - ln P(ordinary) of the step. len(ALPHABET)^2 rows.
+
+    Steps are smoothed by the second character's own share (with one added count), so a step from
+    or to a character that ordinary text hardly has speaks for a random string.
+    """
     spark = samples.sparkSession
     counts = pairs(samples, "sample", "random").groupBy("pair").agg(
         F.sum("random").alias("n1"), F.sum(1 - F.col("random")).alias("n0"))
     letters = F.array(*map(F.lit, ALPHABET))
-    every = spark.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).select("a", F.concat("a", "b").alias("pair"))
+    every = spark.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).withColumn("pair", F.concat("a", "b"))
     both = every.join(counts, "pair", "left").na.fill(0, ["n1", "n0"])
-    start = Window.partitionBy("a")
+    first, second, whole = Window.partitionBy("a"), Window.partitionBy("b"), Window.partitionBy(F.lit(0))
     size = float(len(ALPHABET))
 
     def log_p(n: str) -> Column:
-        return F.log((F.col(n) + 1.0) / (F.sum(n).over(start) + size))
+        unigram = (F.sum(n).over(second) + 1.0) / (F.sum(n).over(whole) + size)
+        return F.log((F.col(n) + F.lit(size) * unigram) / (F.sum(n).over(first) + size))
 
     return both.select("pair", (log_p("n1") - log_p("n0")).alias("ratio"))
 
