@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -64,52 +64,44 @@ class Vocabulary:
         return bag
 
 
-@dataclass
 class BlockMaxIndex:
-    """Postings by term, with the largest weight of each block of BLOCK example numbers."""
-
-    vectors: list[dict[int, float]]
-    block: int = BLOCK
-    numbers: dict[int, np.ndarray] = field(default_factory=dict)
-    weights: dict[int, np.ndarray] = field(default_factory=dict)
-    blocks: dict[int, np.ndarray] = field(default_factory=dict)
-    starts: dict[int, np.ndarray] = field(default_factory=dict)
-    most: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def __post_init__(self):
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for n, v in enumerate(self.vectors):
-            for t, w in v.items():
-                postings.setdefault(t, []).append((n, w))
-        for t, p in postings.items():
-            numbers, weights = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            blocks, starts = np.unique(numbers // self.block, return_index=True)
-            self.numbers[t], self.weights[t], self.blocks[t] = numbers, weights, blocks
-            self.starts[t] = np.append(starts, len(numbers))
-            self.most[t] = np.maximum.reduceat(weights, starts)
-        self.n_blocks = -(-len(self.vectors) // self.block)
+    """Blocks of neighbouring example numbers, each with its terms' postings; for each term the blocks it is in and its largest weight there."""
+
+    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
+        self.block, self.parts = block, []
+        most: dict[int, list[tuple[int, float]]] = {}
+        for b in range(-(-len(vectors) // block)):
+            here = vectors[b * block : (b + 1) * block]
+            rows = {t: i for i, t in enumerate(sorted({t for v in here for t in v}))}
+            weights = np.zeros((len(rows), block))
+            for n, v in enumerate(here):
+                for t, w in v.items():
+                    weights[rows[t], n] = w
+            self.parts.append((rows, weights))
+            for t, i in rows.items():
+                most.setdefault(t, []).append((b, float(weights[i].max())))
+        self.most = {t: (np.array([b for b, _ in p]), np.array([w for _, w in p])) for t, p in most.items()}
 
     def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k examples of the largest positive cosine, ties to the smaller number."""
-        query = {t: w for t, w in sorted(query.items()) if t in self.blocks}
-        if not query:
-            return []
-        bound = np.zeros(self.n_blocks)
+        query = {t: w for t, w in sorted(query.items()) if t in self.most}
+        bound = np.zeros(len(self.parts))
         for t, w in query.items():
-            bound[self.blocks[t]] += w * self.most[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+            blocks, weights = self.most[t]
+            bound[blocks] += w * weights
+        numbers, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or len(scores) == k and bound[b] < scores[-1] - 1e-9:
                 break
-            scores = np.zeros(self.block)
-            for t, w in query.items():
-                i = np.searchsorted(self.blocks[t], b)
-                if i < len(self.blocks[t]) and self.blocks[t][i] == b:
-                    part = slice(self.starts[t][i], self.starts[t][i + 1])
-                    scores[self.numbers[t][part] - b * self.block] += w * self.weights[t][part]
-            here = np.flatnonzero(scores > 0)
-            best = sorted(best + [(-round(float(scores[i]), 12), int(b * self.block + i)) for i in here if b * self.block + i != without])[:k]
-        return [(n, min(1.0, -s)) for s, n in best]
+            rows, weights = self.parts[b]
+            found = [(rows[t], w) for t, w in query.items() if t in rows]
+            s = np.round(np.array([w for _, w in found]) @ weights[[i for i, _ in found]], 12)
+            here = np.flatnonzero(s > 0)
+            here = here[here + b * self.block != without]
+            numbers, scores = np.concatenate([numbers, here + b * self.block]), np.concatenate([scores, s[here]])
+            top = np.lexsort((numbers, -scores))[:k]
+            numbers, scores = numbers[top], scores[top]
+        return [(n, min(1.0, s)) for n, s in zip(numbers.tolist(), scores.tolist(), strict=True)]
 
 
 @dataclass
@@ -228,9 +220,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     frequency, documents = document_frequencies(docs.select(text_col), chosen)
     idf = np.log((documents + 1.0) / (frequency + 1.0)) + 1.0
     prior = (total[1] + 0.5) / (total[0] + total[1] + 1.0)
-    model = Model(chosen, idf, BlockMaxIndex([]), np.array([y for _, y, _ in seen]), [i for i, _, _ in seen], weight, prior)
-    vectors = [model.vector(bag) for _, _, bag in seen]
-    model.index = BlockMaxIndex(vectors)
+    model = Model(chosen, idf, BlockMaxIndex([]), np.zeros(0), [], weight, prior)
+    # Examples alike in their weightiest terms get neighbouring numbers: a block is good for few queries, and its bound says so.
+    both = [(model.vector(x[2]), x) for x in seen]
+    both.sort(key=lambda p: [t for t, _ in sorted(p[0].items(), key=lambda y: (-y[1], y[0]))])
+    vectors, seen = [v for v, _ in both], [x for _, x in both]
+    model.labels, model.ids, model.index = np.array([y for _, y, _ in seen]), [i for i, _, _ in seen], BlockMaxIndex(vectors)
     blank = [y for (_, y, _), v in zip(seen, vectors, strict=True) if not v]
     a, b = (sum(weight[y] for y in blank if y == c) for c in (1, 0))
     model.empty = (a + prior) / (a + b + 1.0)
