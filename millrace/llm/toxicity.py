@@ -27,9 +27,9 @@ from .common import crc_fold, kept
 from .langid import WORD
 
 #: Bounds of the fit: examples of each label (expected), and terms.
-EXAMPLES_PER_LABEL, MAX_TERMS = 4_000, 1_000
-#: A term is kept if the share of toxic among rows with it is at least LEAST_SHARE by Wilson's lower bound of ERRORS standard errors.
-LEAST_SHARE, ERRORS = 0.5, 3.0
+EXAMPLES_PER_LABEL, MAX_TERMS = 8_000, 1_000
+#: A term is kept if the share of toxic among rows with it is at least LEAST_SHARE with both labels' counts off by ERRORS standard errors.
+LEAST_SHARE, ERRORS = 0.5, 2.0
 #: Lengths of word beginnings that are terms beside the words.
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
@@ -164,10 +164,14 @@ def choose_terms(examples: DataFrame, weight: tuple[float, float]) -> dict[str,
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([int(k[1] == 1) * total[k] for k in keys], pa.int64()), pa.array([int(k[1] == 0) * total[k] for k in keys], pa.int64())], names=["term", "a", "b"])
 
     counts = examples.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    n, up = F.col("a") + F.col("b"), F.col("a") * F.lit(float(weight[1]))
-    p, z2 = up / (up + F.col("b") * F.lit(float(weight[0]))), F.lit(ERRORS**2)
-    low = (p + z2 / (2 * n) - F.lit(ERRORS) * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    top = counts.filter("a > 0").withColumn("low", low).filter(F.col("low") >= LEAST_SHARE)
+    # Examples are samples: what few clean ones lack, many clean rows may have. Both counts stand at their unfavourable bounds.
+    z = F.lit(ERRORS)
+
+    def bound(n: str, sign: float):
+        return F.col(n) + z * z / 2 + sign * z * F.sqrt(F.col(n) + z * z / 4)
+
+    up, down = bound("a", -1.0) * F.lit(float(weight[1])), bound("b", 1.0) * F.lit(float(weight[0]))
+    top = counts.filter("a > 0").withColumn("low", up / (up + down)).filter(F.col("low") >= LEAST_SHARE)
     rows = top.orderBy(F.desc("low"), "term").limit(MAX_TERMS).select("term").collect()
     return {r["term"]: i for i, r in enumerate(rows)}
 
