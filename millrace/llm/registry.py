@@ -97,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def secret_sql() -> str:
-    """The scan where the identifier sample is every document (up to IDENTIFIER_DOCUMENTS of them)."""
+    """The scan; the identifiers are those of every distinct text, at every size."""
     quoted = {k: "'" + p.replace("'", "''") + "'" for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, TOKEN), strict=True)}
     size = len(ALPHABET)
     found = " UNION ALL ".join(

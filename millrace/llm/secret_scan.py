@@ -6,7 +6,8 @@ token characters by its log-likelihood ratio per step; a token that the random m
 better by MIN_RATIO, and that touches no base span, is a span of kind ``random``.
 
 Positions come from the pieces between matches: lengths of gaps and matches, summed along a
-document by a window over its few matches. Text itself is never shuffled by the scan.
+document by a window over its few matches. The identifier model learns from every distinct text;
+finding these is the one place where text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
-
 # The base patterns, whole match as group 0, and what a match must have.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -27,9 +26,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Tokens that the models judge, and the least mean log-likelihood ratio of a step that makes one a span.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_RATIO = 1.0
-#: Labelled samples: random strings made from digests of counters, and identifiers of about so many documents at most.
+#: Labelled samples: random strings made from digests of so many counters, and the identifiers of all distinct texts.
 RANDOM_SAMPLES = 4000
-IDENTIFIER_DOCUMENTS = 2000
 
 
 def matches(text: Column, kind: int, pattern: str) -> Column:
@@ -61,14 +59,14 @@ def pairs(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """sample, random (1 or 0). docs: id, key, text."""
+    """sample, random (1 or 0), n (times it occurs). docs: id, key, text."""
     digest = F.sha2(F.col("id").cast("string"), 256)
     plain64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     made = spark.range(RANDOM_SAMPLES).select(F.explode(F.array(digest, plain64, F.translate(F.upper(plain64), "+/", "23"))).alias("sample"))
-    few = bounded_sample(docs.select("text"), "text", IDENTIFIER_DOCUMENTS)
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = few.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("sample"))
-    return made.withColumn("random", F.lit(1)).unionByName(words.withColumn("random", F.lit(0)))
+    words = docs.select("text").distinct().select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("sample"))
+    # Counted by word first, so that each distinct word is cut into pairs once.
+    return made.withColumn("random", F.lit(1)).unionByName(words.withColumn("random", F.lit(0))).groupBy("sample", "random").agg(F.count(F.lit(1)).alias("n"))
 
 
 def train(samples: DataFrame) -> DataFrame:
@@ -78,8 +76,8 @@ def train(samples: DataFrame) -> DataFrame:
     or to a character that ordinary text hardly has speaks for a random string.
     """
     spark = samples.sparkSession
-    counts = pairs(samples, "sample", "random").groupBy("pair").agg(
-        F.sum("random").alias("n1"), F.sum(1 - F.col("random")).alias("n0"))
+    counts = pairs(samples, "sample", "random", "n").groupBy("pair").agg(
+        F.sum(F.col("random") * F.col("n")).alias("n1"), F.sum((1 - F.col("random")) * F.col("n")).alias("n0"))
     letters = F.array(*map(F.lit, ALPHABET))
     every = spark.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).withColumn("pair", F.concat("a", "b"))
     both = every.join(counts, "pair", "left").na.fill(0, ["n1", "n0"])

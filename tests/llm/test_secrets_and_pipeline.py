@@ -87,3 +87,17 @@ def test_pipeline_near_copies(stages):
     texts = [(r["doc_id"], r["text"]) for r in stages["exact"].collect()]
     want = brute(sets_of(texts, 5))
     assert {r["doc_id"] for r in stages["near"].collect()} == {i for i, c in want.items() if i == c}
+
+
+def test_identifiers_of_every_document_are_learnt(spark, tmp_path):
+    """More documents than the former sample's 2,000: identifiers that one document has are ordinary, as in the SQL."""
+    import duckdb
+
+    rare = ["zqxj", "vkwq", "jxqz", "qvzx", "xkqj", "wzvq", "kqzj", "jvxw"]
+    texts = [f"plain words of document number n{i}" for i in range(12_000)] + [f"{w * 6} " * 4000 for w in rare]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in registry.op4(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(registry.secret_sql()).fetchall())
+    assert not any(r[-1] for r in got)
