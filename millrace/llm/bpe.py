@@ -17,15 +17,20 @@ import hashlib
 import re
 import sys
 from array import array
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: Entries of the word memo and bytes of the chunk memo of a task; a full one is emptied.
-WORD_MEMO = 700_000
+from .common import kept
+
+#: Bytes of the words' memo and of the chunks' memo of a worker; a full one is emptied.
+WORD_MEMO_BYTES = 96_000_000
 CHUNK_MEMO_BYTES = 24_000_000
+#: What an entry of two byte strings takes beside their bytes: the objects and its share of the table.
+ENTRY = 170
 #: Bytes under the rolling hash, and the mean and least length of a chunk.
 WINDOW, MEAN_CHUNK, MIN_CHUNK = 16, 1024, 64
 BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -51,9 +56,9 @@ class WordEncoder(dict):
         self.byte_chars = byte_alphabet()
         self.pieces = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
         self.piece_memo: dict[str, bytes] = {}
+        self.held = 0
         # The split into pieces below is the one of this pre-tokenizer; any other goes the library's way.
         spec = self.whole.pre_tokenizer.__getstate__() if self.whole.pre_tokenizer else b""
-        self.piece("."), self.piece(",")
         self.plain = rb"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in spec
 
     def __missing__(self, word: bytes) -> bytes:
@@ -65,21 +70,30 @@ class WordEncoder(dict):
             if low.isalpha():
                 out = self.piece_memo.get(low) or self.piece(low)
             elif low[-1] in ".," and low[:-1].isalpha():
-                out = (self.piece_memo.get(low[:-1]) or self.piece(low[:-1])) + self.piece_memo[low[-1]]
+                out = (self.piece_memo.get(low[:-1]) or self.piece(low[:-1])) + (self.piece_memo.get(low[-1]) or self.piece(low[-1]))
             else:
                 out = b"".join([self.piece_memo.get(p) or self.piece(p) for p in self.pieces.findall(low)])
-        if len(self) >= WORD_MEMO:
-            self.clear()
-        self[word] = out
+        size = len(word) + len(out) + ENTRY
+        self.make_room(size)
+        if size <= WORD_MEMO_BYTES:
+            self[word] = out
+            self.held += size
         return out
 
+    def make_room(self, size: int) -> None:
+        if self.held + size > WORD_MEMO_BYTES:
+            self.clear()
+            self.piece_memo.clear()
+            self.held = 0
+
     def piece(self, p: str) -> bytes:
         chars = p if p.isascii() else "".join(map(self.byte_chars.__getitem__, p.encode()))
         out = packed([t.id for t in self.model.tokenize(chars)])
-        if len(self.piece_memo) >= WORD_MEMO:
-            self.piece_memo.clear()
-            self.piece("."), self.piece(",")
-        self.piece_memo[p] = out
+        size = len(p) + len(out) + ENTRY
+        self.make_room(size)
+        if size <= WORD_MEMO_BYTES:
+            self.piece_memo[p] = out
+            self.held += size
         return out
 
     def ids(self, text: bytes) -> bytes:
@@ -207,8 +221,8 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run(batches):
         import pyarrow as pa
 
-        encoder, decoder = task_encoder(tokenizer), task_decoder(tokenizer)
-        decimal = task_decimals()
+        codec = task_codec(tokenizer)
+        encoder, decoder, decimal = codec.encoder, codec.decoder, codec.decimals
         for batch in batches:
             counts, sums, backs = [], [], []
             for data in texts(batch.column(1)):
@@ -222,7 +236,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     def run_ids(batches):
         import pyarrow as pa
 
-        encoder = task_encoder(tokenizer)
+        encoder = task_codec(tokenizer).encoder
         for batch in batches:
             ids = [encoder.encode(data) for data in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
@@ -240,7 +254,7 @@ def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_
     def run(batches):
         import pyarrow as pa
 
-        decoder = task_decoder(tokenizer)
+        decoder = task_codec(tokenizer).decoder
         for batch in batches:
             out = [decoder.decode(np.frombuffer(b or b"", dtype="<u2").tolist()).decode() for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, "text"])
@@ -248,25 +262,24 @@ def decode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_
     return df.select(id_col, ids_col).mapInArrow(run, StructType([StructField(id_col, df.schema[id_col].dataType), StructField("text", StringType())]))
 
 
-#: One of each for a Python worker: Spark reuses workers from task to task.
-_ENCODERS: dict[str, ChunkEncoder] = {}
-_DECODERS: dict[str, Decoder] = {}
-_DECIMALS: list[bytes] = []
+class Codec:
+    """What a worker keeps of one vocabulary; each part is made when first used."""
 
+    def __init__(self, path: str):
+        self.path = path
 
-def task_encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    @cached_property
+    def encoder(self) -> ChunkEncoder:
+        return ChunkEncoder(self.path)
 
+    @cached_property
+    def decoder(self) -> Decoder:
+        return Decoder(self.path)
 
-def task_decoder(path: str) -> Decoder:
-    if path not in _DECODERS:
-        _DECODERS[path] = Decoder(path)
-    return _DECODERS[path]
+    @cached_property
+    def decimals(self) -> list[bytes]:
+        return [str(i).encode() for i in range(1 << 16)]
 
 
-def task_decimals() -> list[bytes]:
-    if not _DECIMALS:
-        _DECIMALS.extend(str(i).encode() for i in range(1 << 16))
-    return _DECIMALS
+def task_codec(path: str) -> Codec:
+    return kept("bpe", path, lambda: Codec(path))

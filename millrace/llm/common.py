@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -14,9 +15,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a local one is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a local master gets a local one; a cluster is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         path = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -27,7 +30,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by saved() of which nothing is read any more. What is still to be read must have been saved since."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -50,11 +62,22 @@ def bounded_sample(df: DataFrame, text_col: str, bound: int) -> DataFrame:
     return chosen.dropDuplicates([text_col])
 
 
-_KEPT: dict[str, tuple[str, object]] = {}
+#: Kind, key and object: what the last operator of this Python worker left for the next task.
+_KEPT: list = [None, None, None]
 
 
 def kept(kind: str, key: str, make):
-    """One object of a kind for a Python worker, which Spark reuses from task to task; made again when its key changes."""
-    if _KEPT.get(kind, ("", None))[0] != key:
-        _KEPT[kind] = (key, make())
-    return _KEPT[kind][1]
+    """One object for a Python worker, which Spark reuses from task to task; another kind or key takes its place and its memory."""
+    if _KEPT[:2] != [kind, key]:
+        _KEPT[:] = [kind, key, None]
+        release()
+        _KEPT[2] = make()
+    return _KEPT[2]
+
+
+def release() -> None:
+    """Hands memory that earlier tasks no longer use back to the machine."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()

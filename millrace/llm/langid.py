@@ -28,8 +28,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled rows (expected), words, and n-grams of each length.
 TRAIN_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 60_000
 LONGEST = 5
-#: Distinct blank-free tokens a worker remembers; a full memo is emptied.
-MEMO = 600_000
+#: Bytes of blank-free tokens that a worker remembers with their scores; a full memo is emptied.
+MEMO_BYTES = 64_000_000
 UNKNOWN = "und"
 
 
@@ -113,7 +113,7 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.rows, self.at, self.table = 0, {}, np.zeros((4096, self.width))
+        self.rows, self.held, self.at, self.table = 0, 0, {}, np.zeros((4096, self.width))
 
     def row(self, token: bytes) -> int:
         words = WORD.findall(token.decode("utf-8", "replace").lower())
@@ -125,10 +125,11 @@ class Scorer:
         r[-1] = len(words)
         self.at[token] = self.rows
         self.rows += 1
+        self.held += len(token) + 150 + 8 * self.width
         return self.rows - 1
 
     def score(self, data: bytes) -> tuple[str, float]:
-        if self.rows > MEMO:
+        if self.held > MEMO_BYTES:
             self.reset()
         tokens, at = data.split(), self.at
         index = [at[t] if t in at else self.row(t) for t in tokens]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import texts
-from .common import saved
+from .common import discard, kept, saved
 from .graph import components
 
 TREES, BASE, DEPTH = 24, 4, 12
@@ -36,14 +36,16 @@ LOOSE, SLACK = 0.5, 0.2
 #: Regions up to this size give all their pairs as candidates.
 SMALL = 8
 #: Documents and shingles of a block, which one task holds.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 4_000_000
-WORD_MEMO = 250_000
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Bytes of words that a worker remembers with their hashes.
+MEMO_BYTES = 24_000_000
+#: Rows of the sorted orders that are paired in one go.
+CHUNK = 65_536
 
 _RNG = np.random.default_rng(1)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _STEP = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,17 +54,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: bytes) -> int:
-    if len(_WORDS) >= WORD_MEMO:
-        _WORDS.clear()
-    h = _WORDS[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return h
+class WordHashes(dict):
+    """Words (bytes) and their 64-bit hashes, emptied when they take MEMO_BYTES."""
+
+    held = 0
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        size = len(word) + 200  # with the objects' and the table's own
+        if self.held + size > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        if size <= MEMO_BYTES:
+            self[word] = h
+            self.held += size
+        return h
 
 
 def word_hashes(data: bytes) -> np.ndarray:
     """Of the blank-separated words of A-Z-lower-cased UTF-8 text."""
-    known = _WORDS.get
-    return np.array([h if (h := known(w)) is not None else word_hash(w) for w in data.lower().split()], dtype=np.uint64)
+    words = data.lower().split()
+    return np.fromiter(map(kept("words", "", WordHashes).__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -141,27 +153,46 @@ def trees(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sig").mapInArrow(run, "tree int, key binary, id long")
 
 
-def region_pairs(keys: list[bytes], ids: list[int], depth: int, out: set[tuple[int, int]]) -> int:
-    """Candidates of rows (sorted by key) that share ``depth`` hashes; returns their hub, which all but small regions are paired with."""
-    n = len(ids)
-    if n <= SMALL:
-        out.update((ids[i], ids[j]) for i in range(n) for j in range(i))
-        return ids[0]
-    cut = (depth + 1) * 4
-    starts = [0, *(i for i in range(1, n) if keys[i][depth * 4 : cut] != keys[i - 1][depth * 4 : cut]), n] if depth < DEPTH else [0, n]
-    parts = [(a, b) for a, b in zip(starts, starts[1:], strict=False)]
-    if len(parts) == 1:
-        hub = ids[0] if depth >= DEPTH else region_pairs(keys, ids, depth + 1, out)
-    else:
-        large = max(parts, key=lambda p: p[1] - p[0])
-        hub = ids[large[0]]
-        for a, b in parts:
-            if b - a > 1:
-                inner = region_pairs(keys[a:b], ids[a:b], depth + 1, out)
-                hub = inner if (a, b) == large else hub
-    out.update((i, hub) for i in ids)
-    out.update(zip(ids[1:], ids, strict=False))
-    return hub
+def region_pairs(tree: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (positions i, j) of rows sorted by tree and key, and the hub of each row's region.
+
+    A region is a run of rows that share BASE hashes. All pairs of a region of up to SMALL rows; of
+    a larger one each row with the next and with the hub, and so again for the regions one hash
+    deeper. A region's hub is that of its largest part, so hubs of nested regions mostly agree.
+    """
+    n = len(tree)
+    same = np.logical_and.accumulate(keys[1:] == keys[:-1], axis=1).sum(axis=1)
+    same[tree[1:] != tree[:-1]] = 0
+    shared = np.concatenate([[0], same])  # hashes shared with the row before
+    at = np.arange(n)
+    beside = np.flatnonzero(shared >= BASE)
+    found, paired, parts = [(beside, beside - 1)], np.full(n, -1), None
+    for depth in range(DEPTH, BASE - 1, -1):
+        start = shared < depth
+        start[0] = True
+        first = np.flatnonzero(start)
+        size = np.diff(np.append(first, n))
+        region = np.cumsum(start) - 1
+        if parts is None:
+            hub = first
+        else:
+            above, most, its = parts  # first rows, sizes and hubs of the parts one hash deeper
+            owner = region[above]
+            by = np.lexsort((above, -most, owner))
+            hub = its[by[np.searchsorted(owner[by], np.arange(len(first)))]]
+        parts = first, size, hub
+        hub, size = hub[region], size[region]
+        large = (size > SMALL) & (hub != paired) & (hub != at)
+        found.append((at[large], hub[large]))
+        paired = np.where(size > SMALL, hub, paired)
+        few = (size > 1) & (size <= SMALL)
+        if depth > BASE:  # those in a region that is small itself come with it
+            outer = np.concatenate([np.flatnonzero((shared < depth - 1) | (at == 0)), [n]])
+            few &= np.repeat(np.diff(outer), np.diff(outer)) > SMALL
+        for k in range(2, SMALL):
+            i = np.flatnonzero(few[k:] & (region[k:] == region[:-k])) + k
+            found.append((i, i - k))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found]), hub
 
 
 def links_of_orders(rows: DataFrame) -> DataFrame:
@@ -171,51 +202,43 @@ def links_of_orders(rows: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def regions():
-            at, keys, ids = None, [], []
+        def out(kind, tree, keys, a, b):
+            raw = [None] * len(a) if keys is None else [k.tobytes() for k in keys]
+            none = [None] * len(a)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(none if tree is None else tree, pa.int32()), pa.array(raw, pa.binary()),
+                                               pa.array(a, pa.int64()), pa.array(none if b is None else b, pa.int64())], names=["kind", "tree", "key", "a", "b"])
+
+        def edge(tree, keys, ids, hub, low, high):
+            few = np.unique(np.concatenate([hub[low:low + 1], np.arange(low, min(low + SMALL, high)), np.arange(max(low, high - SMALL), high)]))
+            return few, out(1, tree[few], keys[few], ids[few], None)
+
+        def chunks():
+            held, n = [], 0
             for batch in batches:
-                for tree, key, id_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    if at != (tree, key[: 4 * BASE]):
-                        if ids:
-                            yield at, keys, ids
-                        at, keys, ids = (tree, key[: 4 * BASE]), [], []
-                    keys.append(key)
-                    ids.append(id_)
-            if ids:
-                yield at, keys, ids
-
-        def flush():
-            a, b = [p[0] for p in pairs], [p[1] for p in pairs]
-            n, m = len(a), len(border)
-            return pa.RecordBatch.from_arrays([
-                pa.array([0] * n + [1] * m, pa.int32()), pa.array([None] * n + [x[0] for x in border], pa.int32()),
-                pa.array([None] * n + [x[1] for x in border], pa.binary()), pa.array(a + [x[2] for x in border], pa.int64()),
-                pa.array(b + [None] * m, pa.int64())], names=["kind", "tree", "key", "a", "b"])
-
-        pairs: set[tuple[int, int]] = set()
-        border: list[tuple] = []
+                if batch.num_rows:
+                    keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, DEPTH)
+                    held.append((np.array(batch.column(0)), keys, np.array(batch.column(2))))
+                    n += batch.num_rows
+                if n >= CHUNK:
+                    yield held
+                    held, n = [], 0
+            if held:
+                yield held
+
+        before = None  # of the region that goes on: its hub, first and last rows
         last = None
-
-        def edge(region):
-            (tree, _), keys, ids, hub = region
-            few = dict.fromkeys([hub, *ids[:SMALL], *ids[-SMALL:]])
-            first = dict(zip(ids, keys, strict=True))
-            border.extend((tree, first[i], i) for i in few)
-
-        for i, (at, keys, ids) in enumerate(regions()):
-            found: set[tuple[int, int]] = set()
-            hub = region_pairs(keys, ids, BASE, found) if len(ids) > 1 else ids[0]
-            pairs.update((max(p), min(p)) for p in found if p[0] != p[1])
-            last = (at, keys, ids, hub)
-            if i == 0:
-                edge(last)
-            if len(pairs) > 200_000:
-                yield flush()
-                pairs.clear()
-                border.clear()
+        for held in chunks():
+            tree, keys, ids = (np.concatenate(x) for x in zip(*([before] if before else []), *held, strict=True))
+            i, j, hub = region_pairs(tree, keys)
+            yield out(0, None, None, np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]))
+            begins = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (keys[1:, :BASE] != keys[:-1, :BASE]).any(axis=1)]))
+            ends = np.append(begins, len(tree))
+            if before is None:
+                yield edge(tree, keys, ids, hub, ends[0], ends[1])[1]
+            few, last = edge(tree, keys, ids, hub, ends[-2], ends[-1])
+            before = tree[few], keys[few], ids[few]
         if last is not None:
-            edge(last)
-        yield flush()
+            yield last
 
     return rows.mapInArrow(run, schema)
 
@@ -299,6 +322,7 @@ def near_links(df: DataFrame, reps: DataFrame, id_col: str, text_col: str, width
     again = links_of_orders(border.repartition(F.col("tree"), F.substring("key", 1, 4 * BASE)).sortWithinPartitions("tree", "key", "id"))
     pairs = found.filter("kind = 0").select("a", "b").unionByName(again.filter("kind = 0").select("a", "b")).distinct()
     coarse = saved(agreeing(pairs, reps, LOOSE), "coarse")
+    discard(found)
     if not coarse.limit(1).count():
         return None
     regions = components(coarse).select("id", F.col("root").alias("region"))

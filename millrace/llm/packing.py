@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .bpe import task_encoder, texts
+from .bpe import task_codec, texts
 from .common import saved
 
 BUCKETS, DIMS, BITS = 256, 3, 16
@@ -74,7 +74,7 @@ def encoded(df: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: i
     def run(batches):
         import pyarrow as pa
 
-        words = task_encoder(tokenizer).words
+        words = task_codec(tokenizer).encoder.words
         for batch in batches:
             if not batch.num_rows:
                 continue

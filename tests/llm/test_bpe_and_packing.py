@@ -42,12 +42,12 @@ def test_chunks_of_a_shared_passage_are_shared():
 
 
 def test_memos_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "WORD_MEMO", 50)
+    monkeypatch.setattr(bpe, "WORD_MEMO_BYTES", 10_000)
     monkeypatch.setattr(bpe, "CHUNK_MEMO_BYTES", 5000)
     encoder, plain = bpe.ChunkEncoder(tokenizer_path()), bpe.ChunkEncoder(tokenizer_path())
     for (text,) in rows("SELECT text FROM documents")[:20]:
         assert encoder.encode(text.encode()) == plain.words.ids(text.encode())
-        assert len(encoder.words) <= 51 and encoder.held <= 5000 + 2 * len(text.encode()) + 200
+        assert len(encoder.words) + len(encoder.words.piece_memo) <= 10_000 / bpe.ENTRY and encoder.words.held <= 10_000 and encoder.held <= 5000 + 2 * len(text.encode()) + 200
 
 
 def test_query_digests(spark, library):
