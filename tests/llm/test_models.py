@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 
 from fixtures import SF, docs, edge, edge_rows, empty, rows
 from millrace.llm import ann, langid, toxicity
@@ -80,10 +81,12 @@ def test_toxicity_edges(spark):
     assert out.schema == edge(spark).schema and out.count() <= len(edge_rows())
 
 
-def test_neighbours_recall(spark):
+@pytest.mark.parametrize("shard_bytes", [ann.SHARD_BYTES, 700_000])
+def test_neighbours_recall(spark, shard_bytes):
+    """All of the table in one shard of production size, and in several."""
     data = rows("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id", "/root/testdata/sf0.1")
     ids, vectors = np.array([d[0] for d in data]), np.array([d[1] for d in data], dtype=float)
-    got = ann.neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), shard=700).collect()
+    got = ann.neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), shard_bytes=shard_bytes).collect()
     found = {}
     for r in got:
         found.setdefault(r["query_id"], []).append(r)
@@ -99,6 +102,33 @@ def test_neighbours_recall(spark):
     assert hit >= 0.95 * 20 * len(found)
 
 
+def test_recall_of_a_full_shard():
+    """As many random vectors as a shard of production size holds: the hardest case, as they have no structure to follow."""
+    n = ann.SHARD_BYTES // (12 * 64 + 5 * ann.MOST_LINKS + 60)
+    vectors = np.random.default_rng(4).standard_normal((n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    order, layers = ann.build(vectors)
+    points = vectors[order]
+    graph, queries = ann.Graph(points.astype(np.float32), layers), points[:256]
+    found = graph.search(queries.astype(np.float32), ann.BEAM)
+    scores = queries @ points.T
+    want = np.argsort(-scores, axis=1)[:, :20]
+    best = np.take_along_axis(found, np.argsort(-np.take_along_axis(scores, found, axis=1), axis=1)[:, :20], axis=1)
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(best.tolist(), want.tolist(), strict=True)]) >= 0.95
+    assert graph.visited <= 0.3 * n * len(queries)
+
+
+def test_layers_are_linked_within():
+    vectors = np.random.default_rng(4).standard_normal((3000, 8))
+    order, layers = ann.build(vectors)
+    assert sorted(order.tolist()) == list(range(3000)) and [len(x) for x in layers] == [3000, 187]
+    for links in layers:
+        assert links.max() < len(links) and (links != np.arange(len(links))[:, None]).all()
+        for row in links:
+            row = row[row >= 0]
+            assert len(row) and len(set(row.tolist())) == len(row)
+
+
 def test_neighbour_edges(spark):
     nan, inf = float("nan"), float("inf")
     data = [(i, [1.0, 0.0], "x") for i in range(0, 50)] + [(100, [0.0, 2.0], "x"), (100, [0.0, 2.0], "x"), (120, None, "x"), (140, [0.0, 0.0], "x"), (160, [nan, 1.0], "x"), (180, [inf, 1.0], "x"),
