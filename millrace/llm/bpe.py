@@ -1,13 +1,13 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash over its last bytes says so: the same passage is cut alike in
-every document. A chunk is encoded once for all documents of a task (a bounded memo) and its
-ragged ends are kept apart. At a join the ends on both sides are encoded again together, with as
-many further chunks as it takes until the window ends at blanks on both sides. There the
-encodings agree exactly: the pre-tokenizer never joins what a blank parts, Unicode composition
-does not reach over a blank, and no special token holds one.
+every document. A chunk is encoded once for all documents of a worker (a bounded memo), but for
+its ragged ends. A join of chunks is repaired by encoding the ends on both sides again with the
+library, together with a word that each side has encoded already. Where the ids of these two
+words come out as they were, both sides agree with the window and it replaces the join; else, or
+where a chunk has no such word, the window takes in more, at last the whole text.
 
-The memo belongs to a task, not to the cluster: a cluster-wide one needs two shuffles of the
+The memo belongs to a worker, not to the cluster: a cluster-wide one needs two shuffles of the
 corpus (chunks there, ids back), which costs more than the encoding it saves.
 """
 
@@ -17,6 +17,7 @@ import hashlib
 import re
 import sys
 from array import array
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -34,6 +35,7 @@ ENTRY = 170
 #: Bytes under the rolling hash, and the mean and least length of a chunk.
 WINDOW, MEAN_CHUNK, MIN_CHUNK = 16, 1024, 64
 BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+BLANKS = (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")
 #: Characters whose lower case, composition and class are the same in any Unicode version.
 PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 BIG_ENDIAN = sys.byteorder == "big"
@@ -140,46 +142,87 @@ def chunk_ends(data: bytes) -> list[int]:
     return [*ends, n]
 
 
+@dataclass(slots=True)
+class Chunk:
+    """A piece of text: up to its first blank, the ids from there to its last blank, and the text from there on; the first and the last word between.
+
+    Without a word between blanks it is all head.
+    """
+
+    head: bytes
+    ids: bytes = b""
+    tail: bytes = b""
+    first: bytes = b""
+    last: bytes = b""
+
+
 class ChunkEncoder:
     """Whole texts to ids, by chunks."""
 
     def __init__(self, path: str):
         self.words = WordEncoder(path)
-        self.memo: dict[bytes, tuple[bytes, bytes | None, bytes]] = {}
+        self.memo: dict[bytes, Chunk] = {}
+        self.joins: dict[bytes, bytes | None] = {}
         self.held = 0
 
-    def chunk(self, piece: bytes) -> tuple[bytes, bytes | None, bytes]:
-        """Its text up to the first blank, the ids from there to the last blank (None: no blank), and the text from there on."""
-        if (known := self.memo.get(piece)) is not None:
-            return known
-        first = BLANK.search(piece)
-        if first is None:
-            out = (piece, None, b"")
-        else:
-            tail = piece[max(map(piece.rfind, (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))) + 1 :]
-            out = (piece[: first.start()], self.words.ids(piece[first.start() : len(piece) - len(tail)]), tail)
-        size = len(piece) + len(out[1] or b"") + 200
+    def keep(self, memo: dict, key: bytes, value, size: int):
+        size += len(key) + 400
         if self.held + size > CHUNK_MEMO_BYTES:
             self.memo.clear()
+            self.joins.clear()
             self.held = 0
-        self.held += size
-        self.memo[piece] = out
-        return out
+        if size <= CHUNK_MEMO_BYTES:
+            self.held += size
+            memo[key] = value
+        return value
+
+    def chunk(self, piece: bytes) -> Chunk:
+        if (known := self.memo.get(piece)) is not None:
+            return known
+        blank = BLANK.search(piece)
+        out = Chunk(piece)
+        if blank is not None:
+            tail = piece[max(map(piece.rfind, BLANKS)) + 1 :]
+            between = piece[blank.start() : len(piece) - len(tail)].split()
+            if between:
+                out = Chunk(piece[: blank.start()], b"".join(map(self.words.__getitem__, between)), tail, between[0], between[-1])
+        return self.keep(self.memo, piece, out, len(out.ids))
+
+    def whole(self, text: bytes) -> bytes:
+        return packed(self.words.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def join(self, before: bytes, ragged: bytes, after: bytes) -> bytes | None:
+        """The ids of what stands between two words; None where the words' own ids do not come out."""
+        window = b" ".join((before, ragged, after))
+        if window in self.joins:
+            return self.joins[window]
+        ids, left, right = self.whole(window), self.words[before], self.words[after]
+        agreed = len(ids) >= len(left) + len(right) and ids.startswith(left) and ids.endswith(right)
+        return self.keep(self.joins, window, ids[len(left) : len(ids) - len(right)] if agreed else None, len(ids))
 
     def encode(self, data: bytes) -> bytes:
-        parts, window, start = [], b"", 0  # window: what is not yet followed by a blank
-        for end in chunk_ends(data):
-            head, middle, tail = self.chunk(data[start:end])
+        ends = chunk_ends(data)
+        if len(ends) == 1:
+            return self.words.ids(data)
+        parts, ragged, start, before = [], [], 0, None
+        for end in ends:
+            chunk = self.chunk(data[start:end])
             start = end
-            window += head
-            if middle is None:
+            ragged.append(chunk.head)
+            if not chunk.first:
                 continue
-            if window:
-                parts.append(self.words[window])
-            parts.append(middle)
-            window = tail
-        if window:
-            parts.append(self.words[window])
+            window = b"".join(ragged)
+            ragged = [chunk.tail]
+            if before is None:  # from the text's start on, nothing is cut on the left
+                parts.append(self.words.ids(window))
+            elif window:
+                between = self.join(before, window, chunk.first)
+                if between is None:
+                    return self.whole(data)
+                parts.append(between)
+            parts.append(chunk.ids)
+            before = chunk.last
+        parts.append(self.words.ids(b"".join(ragged)))
         return b"".join(parts)
 
 

@@ -53,15 +53,6 @@ def crc_fold(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def bounded_sample(df: DataFrame, text_col: str, bound: int) -> DataFrame:
-    """Rows with distinct texts, about ``bound`` of them at most, chosen by a hash of the text: copies cannot crowd it."""
-    n = df.count()
-    chosen = df
-    if n > bound:
-        chosen = df.filter(F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
-    return chosen.dropDuplicates([text_col])
-
-
 #: Kind, key and object: what the last operator of this Python worker left for the next task.
 _KEPT: list = [None, None, None]
 

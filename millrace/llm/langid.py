@@ -4,17 +4,18 @@ A known word scores its log frequency in each language. An unseen word falls bac
 character n-grams of it that are known (with word boundaries), 5 down to 1. A document's scores
 are summed over its words; the softmax over languages gives the prediction's score.
 
-The model is fitted on a sample of labelled rows with a documented bound, so its size is bounded
-whatever the corpus; only then is it broadcast. Every document is scored whole.
+The model is fitted on a sample of labelled rows with a documented bound for each language, so a
+rare language is learnt from as many rows as it has and the model's size is bounded whatever the
+corpus; only then is it broadcast. Every word and n-gram of the sample counts. Every document is
+scored whole.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-from collections import defaultdict
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,86 +23,94 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bpe import texts
-from .common import bounded_sample, crc_fold, kept
+from .common import crc_fold, kept, saved
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled rows (expected), words, and n-grams of each length.
-TRAIN_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 60_000, 60_000
+#: Bound of the fit: labelled rows of each language (expected).
+ROWS_PER_LANGUAGE = 2_000
 LONGEST = 5
 #: Bytes of blank-free tokens that a worker remembers with their scores; a full memo is emptied.
 MEMO_BYTES = 64_000_000
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. What else the pattern takes for word characters (fractions, superscripts) parts words."""
+    out = []
+    for w in WORD.findall(text.lower()):
+        out += [w] if w.isalpha() else ["".join(run) for letters, run in groupby(w, str.isalpha) if letters]
+    return out
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length - 1
+    words: dict[str, int]  # their rows in the first table
+    grams: list[dict[str, int]]  # by length - 1; their rows in the other tables
+    tables: list[np.ndarray]
 
     def word(self, w: str) -> np.ndarray:
-        known = self.words.get(w)
-        if known is not None:
-            return known
+        at = self.words.get(w)
+        if at is not None:
+            return self.tables[0][at]
         marked = f"^{w}$"
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            table = self.grams[n - 1]
-            found = [g for i in range(len(marked) - n + 1) if (g := table.get(marked[i : i + n])) is not None]
+            known = self.grams[n - 1]
+            found = [r for i in range(len(marked) - n + 1) if (r := known.get(marked[i : i + n])) is not None]
             if found:
-                return sum(found) / len(found)
+                return self.tables[n][found].mean(axis=0)
         return np.zeros(len(self.langs))
 
 
-def log_frequencies(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Log relative frequency in each language with half a count added, centred over languages."""
-    if not counts:
-        return {}
-    table = np.array(list(counts.values())) + 0.5
-    logs = np.log(table / table.sum(axis=0))
-    return dict(zip(counts, logs - logs.mean(axis=1, keepdims=True), strict=True))
+def log_frequencies(table: np.ndarray) -> np.ndarray:
+    """Log relative frequency in each language (a column) with half a count added, centred over languages."""
+    logs = np.log((table + 0.5) / (table + 0.5).sum(axis=0))
+    return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+
 
+def sampled(df: DataFrame, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """text, lang: distinct labelled texts, about ``per_language`` at most of each language, chosen by a hash."""
+    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    # A row for each language.
+    shares = saved(rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count(F.lit(1))).alias("share")), "shares")
+    dealt = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30))
+    return rows.join(F.broadcast(shares), "lang").filter(dealt < F.col("share") * (1 << 30)).select("text", "lang").distinct()
 
-def fit(train: DataFrame, text_col: str, lang_col: str, max_words: int = MAX_WORDS) -> Model | None:
-    """train: the bounded sample. None without a labelled word."""
+
+def fit(train: DataFrame) -> Model | None:
+    """train: text, lang of the bounded sample. None without a labelled word."""
 
     def count(batches):
         import pyarrow as pa
 
-        total: dict[tuple[str, str], int] = defaultdict(int)
+        total: dict[tuple[str, str], int] = {}
         for batch in batches:
             for data, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for w in WORD.findall(data.decode("utf-8", "replace").lower()):
-                    total[w, lang] += 1
+                for w in words_of(data.decode("utf-8", "replace")):
+                    total[w, lang] = total.get((w, lang), 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "lang", "n"])
 
-    counts = train.select(text_col, lang_col).mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    by_word = counts.groupBy("word").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).persist()
-    try:
-        least, held = 1, 0
-        for r in sorted(by_word.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), key=lambda r: -r["n"]):
-            held += r["count"]
-            if held > max_words:
-                least = r["n"] + 1
-                break
-        rows = by_word.filter(F.col("n") >= least).collect()
-    finally:
-        by_word.unpersist()
-    langs = sorted({lang for r in rows for lang in r["by"]})
-    if not langs:
+    rows = train.select("text", "lang").mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).toArrow()
+    if not len(rows):
         return None
-    words = {r["word"]: np.array([float(r["by"].get(lang, 0)) for lang in langs]) for r in sorted(rows, key=lambda r: r["word"])}
-    grams = []
-    for n in range(1, LONGEST + 1):
-        table: dict[str, np.ndarray] = {}
-        for w, c in words.items():
+    listed, lang, n = rows.column("word").to_pylist(), rows.column("lang").to_pylist(), rows.column("n").to_numpy()
+    langs = sorted(set(lang))
+    words = {w: i for i, w in enumerate(sorted(set(listed)))}
+    counts = np.zeros((len(words), len(langs)))
+    counts[[words[w] for w in listed], [langs.index(x) for x in lang]] = n
+    grams, tables = [], [log_frequencies(counts)]
+    for size in range(1, LONGEST + 1):
+        known: dict[str, int] = {}
+        at, of = [], []
+        for i, w in enumerate(words):
             marked = f"^{w}$"
-            for i in range(len(marked) - n + 1):
-                g = marked[i : i + n]
-                table[g] = table[g] + c if g in table else c
-        if len(table) > MAX_GRAMS:
-            table = dict(sorted(table.items(), key=lambda x: (-x[1].sum(), x[0]))[:MAX_GRAMS])
-        grams.append(log_frequencies(table))
-    return Model(langs, log_frequencies(words), grams)
+            for k in range(len(marked) - size + 1):
+                at.append(known.setdefault(marked[k : k + size], len(known)))
+                of.append(i)
+        table = np.stack([np.bincount(at, counts[of, c], minlength=len(known)) for c in range(len(langs))], axis=1) if at else np.zeros((0, len(langs)))
+        grams.append(known)
+        tables.append(log_frequencies(table))
+    return Model(langs, words, grams, tables)
 
 
 class Scorer:
@@ -116,7 +125,7 @@ class Scorer:
         self.rows, self.held, self.at, self.table = 0, 0, {}, np.zeros((4096, self.width))
 
     def row(self, token: bytes) -> int:
-        words = WORD.findall(token.decode("utf-8", "replace").lower())
+        words = words_of(token.decode("utf-8", "replace"))
         if self.rows == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         r = self.table[self.rows]
@@ -141,18 +150,18 @@ class Scorer:
         return self.model.langs[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score.
 
     Learns from rows whose CRC-32 of the id as text is not 0 modulo 5 (a null id counts as held
     out) and whose language is not null. Text that is null or has no letter is ``und`` with
-    score 0, and so is all text where no labelled word exists. Ties go to the language that
-    sorts first. Repeated rows get equal results. Other columns are not read.
+    score 0, and so is all text where no labelled word exists. Of a text with several languages
+    each counts. Ties go to the language that sorts first. Repeated rows get equal results. Other
+    columns are not read. An empty table gives an empty result.
     """
     spark = df.sparkSession
     held = crc_fold(F.col(id_col)) == 0
-    labelled = df.filter(~held & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
-    model = fit(bounded_sample(labelled, text_col, train_rows), text_col, lang_col)
+    model = fit(sampled(df.filter(~held), text_col, lang_col, per_language))
     shared, token = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = StructType([*df.select(F.col(id_col), held.alias("held_out")).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
@@ -166,9 +175,3 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                                              names=[id_col, "held_out", "lang_pred", "score"])
 
     return df.select(F.col(id_col), held.alias("held_out"), F.col(text_col)).mapInArrow(run, schema)
-
-
-def log_likelihood(model: Model, text: str) -> dict[str, float]:
-    """Plain scoring of one text, for checks."""
-    total = sum((model.word(w) for w in WORD.findall(text.lower())), np.zeros(len(model.langs)))
-    return {lang: (0.0 if math.isnan(v) else float(v)) for lang, v in zip(model.langs, total, strict=True)}

@@ -14,7 +14,7 @@ from .langid import identify
 from .line_dedup import line_dedup
 from .minhash import near_dedup
 from .packing import pack
-from .secret_scan import ACCESS, ALPHABET, ASSIGN, ASSIGN_VALUE, HEX, KINDS, MIN_RATIO, RANDOM_SAMPLES, TOKEN, scan, span_text
+from .secret_scan import ACCESS, ALPHABET, ASSIGN, ASSIGN_VALUE, HEX, KINDS, LETTERS, MIN_RATIO, NAMES, ORDINARY_SAMPLES, RANDOM_SAMPLES, STEP, TOKEN, scan, span_text
 from .substring import repeated_passages
 from .toxicity import score_toxicity
 
@@ -97,15 +97,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def secret_sql() -> str:
-    """The scan; the identifiers are those of every distinct text, at every size."""
+    """The scan; the ordinary words are those of every text, at every size."""
     quoted = {k: "'" + p.replace("'", "''") + "'" for k, p in zip(KINDS, (ASSIGN, ACCESS, HEX, TOKEN), strict=True)}
     size = len(ALPHABET)
     found = " UNION ALL ".join(
         f"SELECT doc_id, {i} AS kind, regexp_extract_all(t, {quoted[k]}) AS m, string_split_regex(t, {quoted[k]}) AS g FROM d" for i, k in enumerate(KINDS))
     log_p = f"ln(({{n}} + {size}.0 * (sum({{n}}) OVER (PARTITION BY b) + 1.0) / (sum({{n}}) OVER () + {size}.0)) / (sum({{n}}) OVER (PARTITION BY a) + {size}.0))"
-    clean = "t"
-    for k in KINDS[:3]:
-        clean = f"regexp_replace({clean}, {quoted[k]}, ' ', 'g')"
+    steps = f"unnest(list_filter(list_transform(range(1, length(v)), lambda i: substring(v, i, 2)), lambda p: regexp_matches(p, '{STEP}')))"
+    names = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
     join = "coalesce(string_agg(CASE kind {} END || ':' || s || ':' || e, ',' ORDER BY s, kind){{}}, '')".format(" ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)))
     return (
         f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}), "
@@ -114,12 +113,14 @@ def secret_sql() -> str:
         f"a AS (SELECT doc_id, kind, v, CAST(s AS BIGINT) AS s, CAST(s + length(v) AS BIGINT) AS e FROM x WHERE kind <> 0 OR length(regexp_extract(v, {quoted['assign']}, 1)) >= {ASSIGN_VALUE}), "
         f"h AS (SELECT sha256(CAST(range AS VARCHAR)) AS h FROM range({RANDOM_SAMPLES})), b AS (SELECT h, replace(base64(unhex(h)), '=', '') AS b FROM h), "
         "samples AS (SELECT h AS v, 1 AS r FROM b UNION ALL SELECT b, 1 FROM b UNION ALL SELECT translate(upper(b), '+/', '23'), 1 FROM b "
-        f"UNION ALL SELECT unnest(regexp_extract_all({clean}, '[A-Za-z_-]{{4,}}')), 0 FROM (SELECT DISTINCT t FROM d)), "
-        "counts AS (SELECT pair, sum(r) AS n1, sum(1 - r) AS n0 FROM (SELECT r, unnest(list_transform(range(1, length(v)), lambda i: substring(v, i, 2))) AS pair FROM samples) GROUP BY pair), "
+        "UNION ALL SELECT unnest([d, replace(d, '-', ''), CAST(i * 2654435761 % 1000000000000 AS VARCHAR), "
+        f"{names}[i % {len(NAMES)} + 1] || CAST(i % 997 AS VARCHAR)]), 0 FROM (SELECT range AS i, CAST(DATE '1990-01-01' + CAST(range * 5 AS INTEGER) AS VARCHAR) AS d FROM range({ORDINARY_SAMPLES})) "
+        f"UNION ALL SELECT unnest(regexp_extract_all(t, '{LETTERS}')), 0 FROM d), "
+        f"counts AS (SELECT pair, sum(r) AS n1, sum(1 - r) AS n0 FROM (SELECT r, {steps} AS pair FROM samples) GROUP BY pair), "
         f"letters AS (SELECT unnest(string_split('{ALPHABET}', '')) AS c), grid AS (SELECT x.c AS a, y.c AS b, x.c || y.c AS pair FROM letters x, letters y), "
         "steps AS (SELECT a, b, pair, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM grid LEFT JOIN counts USING (pair)), "
         f"model AS (SELECT pair, {log_p.format(n='n1')} - {log_p.format(n='n0')} AS ratio FROM steps), "
-        "judged AS (SELECT doc_id, s, e, avg(ratio) AS ratio FROM (SELECT doc_id, s, e, unnest(list_transform(range(1, length(v)), lambda i: substring(v, i, 2))) AS pair FROM a WHERE kind = 3) JOIN model USING (pair) GROUP BY doc_id, s, e), "
+        f"judged AS (SELECT doc_id, s, e, avg(ratio) AS ratio FROM (SELECT doc_id, s, e, {steps} AS pair FROM a WHERE kind = 3) JOIN model USING (pair) GROUP BY doc_id, s, e), "
         f"spans AS (SELECT doc_id, kind, s, e FROM a WHERE kind < 3 UNION ALL SELECT doc_id, 3, s, e FROM judged j WHERE ratio >= {MIN_RATIO} "
         "AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = j.doc_id AND a.kind < 3 AND a.s < j.e AND a.e > j.s)) "
         "SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, "

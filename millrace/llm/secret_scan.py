@@ -3,11 +3,16 @@
 Base spans are the matches of fixed patterns. Beside them, two character Markov models - of
 random strings and of ordinary identifiers, trained from labelled samples - score every token of
 token characters by its log-likelihood ratio per step; a token that the random model explains
-better by MIN_RATIO, and that touches no base span, is a span of kind ``random``.
+better by MIN_RATIO, and that touches no base span, is a span of kind ``random``. Steps are those
+between letters and digits: separators (/ _ - + =) part names, dates and paths as they part
+random strings, and say nothing.
+
+Ordinary samples are the words of all documents, and made ones for what prose has none of: plain
+numbers, dates, and words with numbers. Random samples are made from digests of counters.
 
 Positions come from the pieces between matches: lengths of gaps and matches, summed along a
-document by a window over its few matches. The identifier model learns from every distinct text;
-finding these is the one place where text is shuffled.
+document by a window over its few matches. Spans are found by one scan of the texts and written;
+no text is shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 # The base patterns, whole match as group 0, and what a match must have.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -22,12 +29,16 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN_VALUE = 6
 
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 #: Tokens that the models judge, and the least mean log-likelihood ratio of a step that makes one a span.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 MIN_RATIO = 1.0
-#: Labelled samples: random strings made from digests of so many counters, and the identifiers of all distinct texts.
-RANDOM_SAMPLES = 4000
+#: Steps are between two characters of the alphabet. Ordinary words of documents are runs of letters.
+STEP, LETTERS = r"^[A-Za-z0-9]{2}$", r"[A-Za-z]{4,}"
+#: Labelled samples: counters whose digests make random strings, and of which ordinary numbers, dates and names are made.
+RANDOM_SAMPLES, ORDINARY_SAMPLES = 4000, 4000
+# Words that stand with a number in ordinary names.
+NAMES = ["page", "version", "v", "file", "item", "python", "test", "part", "chapter", "section", "log", "backup", "user", "order", "build", "node", "id", "lib", "utf", "x"]
 
 
 def matches(text: Column, kind: int, pattern: str) -> Column:
@@ -53,9 +64,9 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def pairs(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    """A row for each two neighbouring characters."""
+    """A row for each step between two neighbouring characters of the alphabet."""
     steps = F.transform(F.sequence(F.lit(1), F.char_length(text) - 1), lambda i: F.substring(F.col(text), i, F.lit(2)))
-    return df.filter(F.char_length(text) >= 2).select(*keep, F.explode(steps).alias("pair"))
+    return df.filter(F.char_length(text) >= 2).select(*keep, F.explode(F.filter(steps, lambda p: p.rlike(STEP))).alias("pair"))
 
 
 def labelled_samples(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -63,8 +74,11 @@ def labelled_samples(docs: DataFrame, spark: SparkSession) -> DataFrame:
     digest = F.sha2(F.col("id").cast("string"), 256)
     plain64 = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
     made = spark.range(RANDOM_SAMPLES).select(F.explode(F.array(digest, plain64, F.translate(F.upper(plain64), "+/", "23"))).alias("sample"))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    words = docs.select("text").distinct().select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), F.lit(0))).alias("sample"))
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 5).cast("int")).cast("string")
+    number = F.pmod(F.col("id") * 2654435761, F.lit(10**12)).cast("string")
+    name = F.concat(F.element_at(F.array(*map(F.lit, NAMES)), (F.col("id") % len(NAMES) + 1).cast("int")), (F.col("id") % 997).cast("string"))
+    ordinary = spark.range(ORDINARY_SAMPLES).select(F.explode(F.array(day, F.regexp_replace(day, "-", ""), number, name)).alias("sample"))
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0))).alias("sample")).unionByName(ordinary)
     # Counted by word first, so that each distinct word is cut into pairs once.
     return made.withColumn("random", F.lit(1)).unionByName(words.withColumn("random", F.lit(0))).groupBy("sample", "random").agg(F.count(F.lit(1)).alias("n"))
 
@@ -99,7 +113,7 @@ def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    spans = located(docs).distinct()
+    spans = saved(located(docs).distinct(), "spans")
     token, base = spans.filter("kind = 3"), spans.filter("kind < 3")
     model = train(labelled_samples(docs, df.sparkSession))
     steps = pairs(token, "value", "id", "key", "start", "end", "value")
@@ -124,7 +138,12 @@ def gathered(spans: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, spans (array of start, kind, end, done), empty without any."""
+    """One row per input row: id, spans (array of start, kind, end, done), empty without any.
+
+    Null text counts as empty and has no span; a null id keeps its row and its spans. Rows
+    repeated with one id and text have the same spans. Other columns are not read, so their names
+    cannot clash. An empty table gives an empty result.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__key"))
     found = gathered(secret_spans(df, id_col, text_col))
@@ -134,7 +153,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with every span of its text replaced by mark (touching or overlapping spans by one). Null text stays null."""
+    """df with every span of its text replaced by mark (touching or overlapping spans by one).
+
+    Null text stays null; rows without a span, repeated rows and all other columns, whatever their
+    names, stay as they are. An empty table gives an empty result.
+    """
     source = F.coalesce(F.col(text_col), F.lit(""))
     found = gathered(secret_spans(df, id_col, text_col)).toDF("span_id", "span_key", "spans")
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(source).alias("key"), F.col(text_col).alias("text"))

@@ -3,16 +3,22 @@
 Labelled rows are examples in an inverted index over TF-IDF vectors; a document's nearest
 examples are found exactly by cosine, block by block of example numbers in order of the blocks'
 upper bounds, until no block can hold a better one. Votes weighted by distance, calibrated on
-the examples left out one by one, give the score; the neighbours are its evidence.
+labelled rows that are neither in the index nor in its statistics, give the score; the
+neighbours are its evidence.
 
-The index's vocabulary is the terms (words and word beginnings) that labelled rows show to go
-with a label; their document frequencies are counted over all documents. Examples are a sample
-with a documented bound, so the index has a bounded size whatever the corpus and is broadcast.
+The vectors' space is the whole vocabulary of the examples. A term weighs its log inverse document
+frequency over all documents, times how surely it goes with label 1 (the standard score of its two
+shares among labelled rows, at least LEAST_WEIGHT, so that no term falls out): by TF-IDF alone a
+document's nearest examples are those of its subject and its rarest words, of either label.
+
+Labelled rows enter as samples with documented bounds, so the index has a bounded size whatever
+the corpus and is broadcast. Every document is counted and scored whole.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -20,120 +26,132 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from .bpe import texts
-from .common import crc_fold, kept
-from .langid import WORD
-
-#: Bounds of the fit: examples of each label (expected), and terms.
-EXAMPLES_PER_LABEL, MAX_TERMS = 8_000, 1_000
-#: A term is kept if the share of toxic among rows with it is at least LEAST_SHARE with both labels' counts off by ERRORS standard errors.
-LEAST_SHARE, ERRORS = 0.5, 2.0
-#: Lengths of word beginnings that are terms beside the words.
-PREFIXES = (4, 5, 6)
-NEIGHBOURS, BLOCK, EVIDENCE = 15, 64, 3
-#: Votes at the prior share that stand beside the neighbours' ones.
-PRIOR_VOTES = 4.0
-MEMO = 600_000
+from .common import crc_fold, kept, saved
 
-
-def terms(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
+WORD = re.compile(r"[^\W\d_]+")
+#: Bounds of the fit, rows of each label (expected): sampled in all, in the index, and for calibration. The rest of the sample counts for term weights, beside the index.
+SAMPLED_PER_LABEL, INDEXED_PER_LABEL, CALIBRATION_PER_LABEL = 8_000, 1_000, 1_000
+LEAST_WEIGHT = 1.0
+NEIGHBOURS, BLOCK, EVIDENCE = 30, 256, 3
+#: Votes at the prior share that stand beside the neighbours' ones.
+PRIOR_VOTES = 1.0
+#: Bytes of blank-free tokens that a worker remembers with their terms.
+MEMO_BYTES = 48_000_000
 
 
 class Vocabulary:
-    """Bag of chosen terms of a whole text; a memo maps blank-free tokens to their chosen terms."""
+    """Bag of known terms of a whole text; a memo maps blank-free tokens to their terms."""
 
-    def __init__(self, chosen: dict[str, int]):
-        self.chosen, self.memo = chosen, {}
+    def __init__(self, known: dict[str, int]):
+        self.known, self.memo, self.held = known, {}, 0
 
     def token(self, token: bytes) -> tuple[int, ...]:
-        if len(self.memo) >= MEMO:
+        out = tuple(i for w in WORD.findall(token.decode("utf-8", "replace").lower()) if (i := self.known.get(w)) is not None)
+        size = len(token) + 190 + 40 * len(out)
+        if self.held + size > MEMO_BYTES:
             self.memo.clear()
-        words = WORD.findall(token.decode("utf-8", "replace").lower())
-        out = self.memo[token] = tuple(c for w in words for t in terms(w) if (c := self.chosen.get(t)) is not None)
+            self.held = 0
+        if size <= MEMO_BYTES:
+            self.memo[token] = out
+            self.held += size
         return out
 
-    def bag(self, data: bytes) -> Counter:
-        bag, memo = Counter(), self.memo
-        for token, n in Counter(data.split()).items():
+    def terms(self, data: bytes) -> list[int]:
+        memo, out = self.memo, []
+        for token in data.split():
             found = memo.get(token)
-            for t in self.token(token) if found is None else found:
-                bag[t] += n
-        return bag
+            out += self.token(token) if found is None else found
+        return out
 
 
 class BlockMaxIndex:
-    """Blocks of neighbouring example numbers, each with its terms' postings; for each term the blocks it is in and its largest weight there."""
-
-    def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
-        self.block, self.parts = block, []
-        most: dict[int, list[tuple[int, float]]] = {}
-        for b in range(-(-len(vectors) // block)):
-            here = vectors[b * block : (b + 1) * block]
-            rows = {t: i for i, t in enumerate(sorted({t for v in here for t in v}))}
-            weights = np.zeros((len(rows), block))
-            for n, v in enumerate(here):
-                for t, w in v.items():
-                    weights[rows[t], n] = w
-            self.parts.append((rows, weights))
-            for t, i in rows.items():
-                most.setdefault(t, []).append((b, float(weights[i].max())))
-        self.most = {t: (np.array([b for b, _ in p]), np.array([w for _, w in p])) for t, p in most.items()}
-
-    def search(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
-        """The k examples of the largest positive cosine, ties to the smaller number."""
-        query = {t: w for t, w in sorted(query.items()) if t in self.most}
-        bound = np.zeros(len(self.parts))
-        for t, w in query.items():
-            blocks, weights = self.most[t]
-            bound[blocks] += w * weights
+    """Postings by term and block of neighbouring example numbers, with each block's largest weight of the term."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, block: int = BLOCK):
+        """vectors: terms (numbers below ``size``) and weights of each example."""
+        self.block, self.blocks = block, -(-len(vectors) // block)
+        lengths = [len(t) for t, _ in vectors]
+        number = np.repeat(np.arange(len(vectors)), lengths)
+        term = np.concatenate([np.zeros(0, dtype=np.int64), *(t for t, _ in vectors)])
+        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        by = np.lexsort((number, term))
+        number, term, weight = number[by], term[by], weight[by]
+        part = term * max(1, self.blocks) + number // block
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, dtype=np.int64)
+        #: Of each part (term and block): its block, where its postings start, the largest weight; and of each term where its parts start.
+        self.part_block = (part[first] % max(1, self.blocks)).astype(np.int32)
+        self.starts = np.append(first, len(part)).astype(np.int32)
+        self.most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
+        self.terms = np.searchsorted(part[first] // max(1, self.blocks), np.arange(size + 1)).astype(np.int32)
+        self.numbers, self.weights = number.astype(np.int32), weight
+
+    @staticmethod
+    def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All positions of [start, end) ranges, and which range each is of."""
+        n = end - start
+        which = np.repeat(np.arange(len(n)), n)
+        return np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + start[which], which
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k examples of the largest positive cosine, ties to the smaller number. Terms are sorted."""
+        parts, which = self.ranges(self.terms[terms], self.terms[terms + 1])
         numbers, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
+        if not len(parts):
+            return numbers, scores
+        block, weight = self.part_block[parts], weights[which]
+        bound = np.bincount(block, weight * self.most[parts], minlength=self.blocks)
+        by = np.argsort(block, kind="stable")
+        parts, weight = parts[by], weight[by]
+        edge = np.searchsorted(block[by], np.arange(self.blocks + 1))
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(scores) == k and bound[b] < scores[-1] - 1e-9:
                 break
-            rows, weights = self.parts[b]
-            found = [(rows[t], w) for t, w in query.items() if t in rows]
-            s = np.round(np.array([w for _, w in found]) @ weights[[i for i, _ in found]], 12)
-            here = np.flatnonzero(s > 0)
-            here = here[here + b * self.block != without]
-            numbers, scores = np.concatenate([numbers, here + b * self.block]), np.concatenate([scores, s[here]])
+            here, w = parts[edge[b] : edge[b + 1]], weight[edge[b] : edge[b + 1]]
+            at, of = self.ranges(self.starts[here], self.starts[here + 1])
+            s = np.round(np.bincount(self.numbers[at] - b * self.block, w[of] * self.weights[at], minlength=self.block), 12)
+            least = scores[-1] if len(scores) == k else 0.0
+            found = np.flatnonzero(s >= least if least > 0 else s > 0)
+            numbers, scores = np.concatenate([numbers, found + b * self.block]), np.concatenate([scores, s[found]])
             top = np.lexsort((numbers, -scores))[:k]
             numbers, scores = numbers[top], scores[top]
-        return [(n, min(1.0, s)) for n, s in zip(numbers.tolist(), scores.tolist(), strict=True)]
+        return numbers, np.minimum(scores, 1.0)
 
 
 @dataclass
 class Model:
-    chosen: dict[str, int]
-    idf: np.ndarray
+    known: dict[str, int]
+    weight: np.ndarray  # of each term
     index: BlockMaxIndex
     labels: np.ndarray
     ids: list
-    weight: tuple[float, float]  # of an example of label 0 and 1: rows of that label for each example
+    share: float  # rows of label 0 to rows of label 1 that an example of each stands for, as a ratio
     prior: float
     line: tuple[float, float] = (0.0, 1.0)
     empty: float = 0.0
 
-    def vector(self, bag: Counter) -> dict[int, float]:
-        v = {t: (1.0 + math.log(n)) * float(self.idf[t]) for t, n in bag.items()}
-        length = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / length for t, w in v.items()} if length else {}
+    def vector(self, terms: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms and weights of unit length."""
+        t, n = np.unique(np.array(terms, dtype=np.int64), return_counts=True)
+        w = (1.0 + np.log(n)) * self.weight[t]
+        length = math.sqrt(float((w * w).sum()))
+        return (t, w / length) if length else (t[:0], w[:0])
+
+    def near(self, terms: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return self.index.search(*self.vector(terms), NEIGHBOURS)
 
-    def vote(self, near: list[tuple[int, float]]) -> float:
+    def vote(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
         """Log odds of the distance-weighted votes, with PRIOR_VOTES at the prior."""
-        votes = [PRIOR_VOTES * self.prior, PRIOR_VOTES * (1.0 - self.prior)]
-        clean = self.weight[0] / self.weight[1] if self.weight[1] else 1.0
-        for n, s in near:
-            y = int(self.labels[n])
-            votes[1 - y] += (1.0 if y else clean) * s / (0.05 + (1.0 - s))
-        return math.log(votes[0] / votes[1])
-
-    def score(self, near: list[tuple[int, float]]) -> float:
-        if not near:
+        y, v = self.labels[numbers], cosines / (0.05 + (1.0 - cosines))
+        toxic, clean = float(v[y == 1].sum()), self.share * float(v[y == 0].sum())
+        return math.log((toxic + PRIOR_VOTES * self.prior) / (clean + PRIOR_VOTES * (1.0 - self.prior)))
+
+    def score(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
+        if not len(numbers):
             return self.empty
-        z = self.line[0] + self.line[1] * self.vote(near)
+        z = self.line[0] + self.line[1] * self.vote(numbers, cosines)
         return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, z))))
 
 
@@ -149,124 +167,132 @@ def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return (float(beta[0]), float(beta[1])) if beta[1] > 0.05 else (0.0, 1.0)
 
 
-def choose_terms(examples: DataFrame, weight: tuple[float, float]) -> dict[str, int]:
-    """Terms that go with label 1 clearly: what is common to clean text says nothing of a document. examples: text, toxic."""
+def bags_of(rows: DataFrame) -> list[tuple[object, int, dict[str, int]]]:
+    """id, label, words with their counts of the index's examples (bounded), by id."""
 
-    def count(batches):
+    def run(batches):
         import pyarrow as pa
 
-        total = Counter()
         for batch in batches:
-            for data, y in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                words = set(WORD.findall(data.decode("utf-8", "replace").lower()))
-                total.update({(t, y) for w in words for t in terms(w)})
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([int(k[1] == 1) * total[k] for k in keys], pa.int64()), pa.array([int(k[1] == 0) * total[k] for k in keys], pa.int64())], names=["term", "a", "b"])
-
-    counts = examples.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # Examples are samples: what few clean ones lack, many clean rows may have. Both counts stand at their unfavourable bounds.
-    z = F.lit(ERRORS)
-
-    def bound(n: str, sign: float):
-        return F.col(n) + z * z / 2 + sign * z * F.sqrt(F.col(n) + z * z / 4)
-
-    up, down = bound("a", -1.0) * F.lit(float(weight[1])), bound("b", 1.0) * F.lit(float(weight[0]))
-    top = counts.filter("a > 0").withColumn("low", up / (up + down)).filter(F.col("low") >= LEAST_SHARE)
-    rows = top.orderBy(F.desc("low"), "term").limit(MAX_TERMS).select("term").collect()
-    return {r["term"]: i for i, r in enumerate(rows)}
+            found = [Counter(WORD.findall(data.decode("utf-8", "replace").lower())) for data in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(b) for b in found], pa.list_(pa.string())), pa.array([list(b.values()) for b in found], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
 
+    frame = rows.select("id", "y", "text")
+    schema = StructType([*frame.schema.fields[:2], StructField("t", ArrayType(StringType())), StructField("n", ArrayType(IntegerType()))])
+    out = [(r["id"], r["y"], dict(zip(r["t"], r["n"], strict=True))) for r in frame.mapInArrow(run, schema).collect()]
+    return sorted(out, key=lambda x: (str(type(x[0])), x[0]))
 
-def document_frequencies(docs: DataFrame, chosen: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Of the chosen terms over all documents, and the number of documents."""
 
-    token = uuid.uuid4().hex
+def frequencies(rows: DataFrame, known: dict[str, int], classes: int) -> np.ndarray:
+    """(classes, len(known) + 1): in how many rows of each class each known term is, and at the end the rows. rows: text, class (int)."""
+    shared, token, width = rows.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex, len(known) + 1
 
     def count(batches):
         import pyarrow as pa
 
-        vocabulary, total, n = kept("terms", token, lambda: Vocabulary(chosen)), np.zeros(len(chosen) + 1, dtype=np.int64), 0
+        vocabulary = kept("terms", token, lambda: Vocabulary(shared.value))
+        total = np.zeros((classes, width), dtype=np.int64)
         for batch in batches:
-            for data in texts(batch.column(0)):
-                for t in vocabulary.bag(data):
-                    total[t] += 1
-                n += 1
-        total[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["t", "n"])
-
-    out = np.zeros(len(chosen) + 1)
-    for r in docs.mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        out[r["t"]] = r["n"]
-    return out[:-1], int(out[-1])
+            for data, c in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                total[c, list(set(vocabulary.terms(data)))] += 1
+                total[c, -1] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    out = np.zeros(classes * width)
+    # A row for each term of the examples' vocabulary, which is bounded.
+    sums = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    shared.unpersist()
+    return out.reshape(classes, width)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> tuple[DataFrame, dict[int, int]] | None:
+    """id, y, text, u (uniform in [0, 1) of the text): at most about per_label rows of each label with distinct texts; and the labelled rows of each label."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & (crc_fold(F.col(id_col)) != 0)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).filter("id IS NOT NULL")
+    total = {0: 0, 1: 0} | {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    if not total[0] + total[1]:
+        return None
+    share = {y: int(min(1.0, per_label / max(1, total[y])) * (1 << 30)) for y in total}
+    few = known.filter(F.pmod(F.xxhash64("id", F.lit("example")), F.lit(1 << 30)) < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
+    # At most about 2 * per_label rows of an id and a label, so they are broadcast and text is not shuffled.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").join(F.broadcast(few), "id")
+    rows = rows.groupBy("text").agg(F.min("id").alias("id"), F.max("y").alias("y"))
+    return rows.withColumn("u", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(1 << 30)) / F.lit(float(1 << 30))), total
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = EXAMPLES_PER_LABEL) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = SAMPLED_PER_LABEL) -> Model | None:
     """None without a labelled row outside the held-out fold."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & (crc_fold(F.col(id_col)) != 0)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    known = known.dropDuplicates(["__id"])
-    total = {0: 0, 1: 0} | {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
-    if not total[0] + total[1]:
+    found = sampled(docs, labels, id_col, text_col, label_col, per_label)
+    if found is None:
         return None
-    share = {y: min(1.0, per_label / max(1, total[y])) for y in total}
-    dealt = F.pmod(F.xxhash64("__id", F.lit("example")), F.lit(1 << 30))
-    few = known.filter(dealt < F.when(F.col("__y") == 1, F.lit(int(share[1] * (1 << 30)))).otherwise(F.lit(int(share[0] * (1 << 30)))))
-    # At most about 2 * per_label rows of an id and a label, so they are broadcast and text is not shuffled.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text IS NOT NULL").join(F.broadcast(few), "__id")
-    rows = rows.groupBy("__text").agg(F.min("__id").alias("__id"), F.max("__y").alias("__y")).persist()
-    try:
-        n = {0: 0, 1: 0} | {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
-        if not n[0] + n[1]:
-            return None
-        weight = tuple(total[y] / max(1, n[y]) for y in (0, 1))
-        chosen = choose_terms(rows.select("__text", "__y"), weight)
-        seen = bags(rows, chosen)
-    finally:
-        rows.unpersist()
-    frequency, documents = document_frequencies(docs.select(text_col), chosen)
-    idf = np.log((documents + 1.0) / (frequency + 1.0)) + 1.0
+    total = found[1]
+    rows = saved(found[0], "examples")
+    n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if not n[0] + n[1]:
+        return None
+    # Of each label's sample one eighth at most is for calibration and half at most is indexed.
+    tuned = {y: min(0.125, CALIBRATION_PER_LABEL / max(1, n[y])) for y in n}
+    listed = {y: min(0.75, INDEXED_PER_LABEL / max(1, n[y])) for y in n}
+    by_label = lambda d: F.when(F.col("y") == 1, F.lit(d[1])).otherwise(F.lit(d[0]))
+    learnt = rows.filter(F.col("u") >= by_label(tuned))
+    seen = bags_of(learnt.filter(F.col("u") < by_label(tuned) + by_label(listed)))
+    known = {t: i for i, t in enumerate(sorted({t for _, _, b in seen for t in b}))}
+    shares = frequencies(learnt.select("text", "y"), known, 2)
+    spread = frequencies(docs.select(text_col, F.lit(0)), known, 1)[0]
+    idf = np.log((spread[-1] + 1.0) / (spread[:-1] + 1.0)) + 1e-6
+    clean, toxic = shares[0, -1], shares[1, -1]
+    z = np.zeros(len(known))
+    if clean and toxic:
+        both = shares[:, :-1].sum(axis=0) / (clean + toxic)
+        z = (shares[1, :-1] / toxic - shares[0, :-1] / clean) / np.sqrt(both * (1 - both) * (1 / clean + 1 / toxic) + 0.5 * (1 / clean + 1 / toxic) / (clean + toxic))
+    count = Counter(y for _, y, _ in seen)
+    share = (total[0] / max(1, count[0])) / max(1e-9, total[1] / max(1, count[1]))
     prior = (total[1] + 0.5) / (total[0] + total[1] + 1.0)
-    model = Model(chosen, idf, BlockMaxIndex([]), np.zeros(0), [], weight, prior)
+    model = Model(known, idf * np.maximum(z, LEAST_WEIGHT) ** 2, BlockMaxIndex([], len(known)), np.zeros(0), [], share, prior)
     # Examples alike in their weightiest terms get neighbouring numbers: a block is good for few queries, and its bound says so.
-    both = [(model.vector(x[2]), x) for x in seen]
-    both.sort(key=lambda p: [t for t, _ in sorted(p[0].items(), key=lambda y: (-y[1], y[0]))])
-    vectors, seen = [v for v, _ in both], [x for _, x in both]
-    model.labels, model.ids, model.index = np.array([y for _, y, _ in seen]), [i for i, _, _ in seen], BlockMaxIndex(vectors)
-    blank = [y for (_, y, _), v in zip(seen, vectors, strict=True) if not v]
-    a, b = (sum(weight[y] for y in blank if y == c) for c in (1, 0))
+    every = [(model.vector([known[t] for t, c in b.items() for _ in range(c)]), i, y) for i, y, b in seen]
+    every.sort(key=lambda p: p[0][0][np.lexsort((p[0][0], -p[0][1]))][:8].tolist() or [-1])
+    model.index = BlockMaxIndex([v for v, _, _ in every], len(known))
+    model.ids, model.labels = [i for _, i, _ in every], np.array([y for _, _, y in every], dtype=np.int64)
+    votes = calibration_votes(rows.filter(F.col("u") < by_label(tuned)), model)
+    rate = {y: total[y] / max(1, sum(1 for _, v in votes if v == y)) for y in total}
+    blank = [y for v, y in votes if v is None]
+    a, b = (sum(rate[y] for y in blank if y == c) for c in (1, 0))
     model.empty = (a + prior) / (a + b + 1.0)
-    near = [(model.index.search(v, NEIGHBOURS, without=i), y) for i, (v, y) in enumerate(zip(vectors, model.labels, strict=True)) if v]
-    near = [(model.vote(x), y) for x, y in near if x]
-    if near and len({int(y) for _, y in near}) == 2:
-        x, y = np.array([v for v, _ in near]), np.array([float(y) for _, y in near])
-        w = np.where(y == 1, weight[1], weight[0])
-        model.line = calibrate(x, y, w / w.mean())
+    votes = [(v, y) for v, y in votes if v is not None]
+    if len({y for _, y in votes}) == 2:
+        y = np.array([float(y) for _, y in votes])
+        w = np.where(y == 1, rate[1], rate[0])
+        model.line = calibrate(np.array([v for v, _ in votes]), y, w / w.mean())
     return model
 
 
-def bags(rows: DataFrame, chosen: dict[str, int]) -> list[tuple[object, int, Counter]]:
-    """id, label, bag of the examples (bounded), by id."""
+def calibration_votes(rows: DataFrame, model: Model) -> list[tuple[float | None, int]]:
+    """Vote (None without a neighbour) and label of rows (bounded) that the model has not seen."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
-        vocabulary = Vocabulary(chosen)
+        vocabulary = Vocabulary(shared.value.known)
         for batch in batches:
-            found = [vocabulary.bag(data) for data in texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(b) for b in found], pa.list_(pa.int32())), pa.array([list(b.values()) for b in found], pa.list_(pa.int32()))], names=["__id", "__y", "t", "n"])
+            near = [shared.value.near(vocabulary.terms(data)) for data in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([shared.value.vote(*x) if len(x[0]) else None for x in near], pa.float64()), batch.column(1)], names=["v", "y"])
 
-    frame = rows.select("__id", "__y", "__text")
-    schema = StructType([*frame.schema.fields[:2], StructField("t", ArrayType(IntegerType())), StructField("n", ArrayType(IntegerType()))])
-    out = [(r["__id"], r["__y"], Counter(dict(zip(r["t"], r["n"], strict=True)))) for r in frame.mapInArrow(run, schema).collect()]
-    return sorted(out, key=lambda x: (str(type(x[0])), x[0]))
+    out = sorted(((r["v"], r["y"]) for r in rows.select("text", "y").mapInArrow(run, "v double, y int").collect()), key=str)
+    shared.unpersist()
+    return out
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = EXAMPLES_PER_LABEL) -> DataFrame:
+def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLED_PER_LABEL) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, evidence (array of example id, similarity, toxic).
 
     Labels of the fold crc32(id) mod 5 = 0 are not read; labels that are null or neither 0 nor 1
-    are left out, and of several labels of one id any one counts. Equal texts are one example,
-    toxic if any copy is. Null text counts as empty; a document without a chosen term has no
-    neighbours and scores what such examples do. Without any label every score is 0. Repeated
-    rows score alike. Other columns are not read.
+    are left out; an id with both labels is toxic. Equal texts are one example, toxic if any copy
+    is. Null text counts as empty; a document without a word of the index has no neighbours and
+    scores what such labelled rows do. Without any label every score is 0. Repeated rows score
+    alike. Other columns are not read. An empty table gives an empty result.
     """
     spark = df.sparkSession
     held = crc_fold(F.col(id_col)) == 0
@@ -294,28 +320,26 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 class Scorer:
-    """Score and evidence of whole texts; documents with equal bags of terms are searched once."""
+    """Score and evidence of whole texts."""
 
     def __init__(self, model: Model | None):
-        self.model, self.memo = model, {}
-        self.vocabulary = Vocabulary(model.chosen) if model else None
+        self.model = model
+        self.vocabulary = Vocabulary(model.known) if model else None
 
     def __call__(self, data: bytes) -> tuple[float, list[dict]]:
         model = self.model
         if model is None:
             return 0.0, []
-        bag = self.vocabulary.bag(data)
-        key = tuple(sorted(bag.items()))
-        if key not in self.memo:
-            near = model.index.search(model.vector(bag), NEIGHBOURS)
-            if len(self.memo) >= MEMO // 10:
-                self.memo.clear()
-            self.memo[key] = model.score(near), [{"doc_id": int(model.ids[n]), "similarity": s, "toxic": int(model.labels[n])} for n, s in near[:EVIDENCE]]
-        return self.memo[key]
-
-
-def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = EXAMPLES_PER_LABEL) -> DataFrame:
-    """The rows of df that are not predicted toxic, with df's columns: rows are judged where they are, none is shuffled."""
+        numbers, cosines = model.near(self.vocabulary.terms(data))
+        first = zip(numbers[:EVIDENCE].tolist(), cosines[:EVIDENCE].tolist(), strict=True)
+        return model.score(numbers, cosines), [{"doc_id": int(model.ids[n]), "similarity": s, "toxic": int(model.labels[n])} for n, s in first]
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLED_PER_LABEL) -> DataFrame:
+    """The rows of df that are not predicted toxic, with df's columns whatever their names; rows are judged where they are, none is shuffled.
+
+    Nulls, empty texts, repeated rows and empty tables are as in score_toxicity; without any label all rows stay.
+    """
     model = fit(df, labels, id_col, text_col, label_col, per_label)
     shared, token = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = df.columns.index(text_col)

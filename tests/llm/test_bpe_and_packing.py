@@ -41,6 +41,23 @@ def test_chunks_of_a_shared_passage_are_shared():
     assert before > 10 and len(encoder.memo) - before <= 2
 
 
+def test_joins_are_repaired_until_they_agree(library, monkeypatch):
+    """A join whose words come out otherwise is widened; so are chunks without a whole word, in linear time."""
+    monkeypatch.setattr(bpe, "MEAN_CHUNK", 40)
+    monkeypatch.setattr(bpe, "MIN_CHUNK", 8)
+    texts = [r[0] for r in rows("SELECT text FROM documents")[:40]] + ["x" * 300_000, ("ab" * 40 + " ") * 500]
+    encoder = bpe.ChunkEncoder(tokenizer_path())
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text.encode()), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(v is not None for v in encoder.joins.values()) > 100
+    broken = bpe.ChunkEncoder(tokenizer_path())
+    monkeypatch.setattr(broken, "join", lambda *a: None)
+    assert all(np.frombuffer(broken.encode(t.encode()), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids for t in texts[:10])
+    wrong = bpe.ChunkEncoder(tokenizer_path())
+    wrong.words[b"left"] = b"\x00\x00"
+    assert wrong.join(b"left", b"middle", b"right") is None
+
+
 def test_memos_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "WORD_MEMO_BYTES", 10_000)
     monkeypatch.setattr(bpe, "CHUNK_MEMO_BYTES", 5000)

@@ -41,13 +41,32 @@ def test_edges_and_redaction(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+ORDINARY = ["customer_account_identifier", "getUserProfileInformation", "internationalization", "articles/2024/05/17/index/page/12", "/usr/local/lib/python3/dist-packages",
+            "2024-01-15-10-30-00-log", "user_profile_v2_backup_20240115", "12345678901234567890123", "2023/11/30/report-final-version-3", "0000-0000-0000-0000-0000-0042",
+            "a-very-long-hyphenated-compound-word", "src/main/resources/templates/index", "====================", "test_case_number_0017_of_0200", "data/part-00017-of-00200"]
+
+
+def random_strings():
+    """Not those that the model is trained on."""
+    import base64
+
+    out = ["qX7vR2kLm9TzB4wYc8HnPd5s", "zK3-Qw9_xR7tLp2VbN6mYc4Hj8"]
+    for i in range(200):
+        raw = hashlib.sha512(f"held out {i}".encode()).digest()
+        out += [base64.b64encode(raw)[:40].decode(), base64.urlsafe_b64encode(raw[30:])[:24].decode(), base64.b32encode(raw)[:32].decode()]
+    return [s for s in out if len(s) >= 20 and not base(s)]
+
+
 def test_random_strings_and_identifiers(spark):
-    random = ["qX7vR2kLm9TzB4wYc8HnPd5s", "zK3-Qw9_xR7tLp2VbN6mYc4Hj8"]
-    plain = ["customer_account_identifier", "getUserProfileInformation", "internationalization"]
-    filler = " ".join(r[0] for r in rows("SELECT text FROM documents WHERE lang = 'en'")[:30])
-    df = spark.createDataFrame([(1, f"{random[0]} and {random[1]} here"), (2, " ".join(plain)), (3, filler), (4, "the customer account has an identifier for user profile information; " * 50)], "doc_id long, text string")
-    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(df).collect()}
-    assert [s["kind"] for s in got[1]] == [3, 3] and got[2] == []
+    """Held-out strings of both classes, one a document, beside ordinary prose."""
+    prose = [r[0] for r in rows("SELECT text FROM documents WHERE text IS NOT NULL", "/root/testdata/sf0.01")]
+    made = [*random_strings(), *ORDINARY, *(f"{a}/{b}/2021/{n}" for n, (a, b) in enumerate([("articles", "archive"), ("images", "thumbnails"), ("customer", "invoices")]))]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(made)] + [(10**6 + i, t) for i, t in enumerate(prose)], "doc_id long, text string")
+    got = {r["doc_id"]: [made[r["doc_id"]] if r["doc_id"] < 10**6 and (s["start"], s["end"]) == (4, 4 + len(made[r["doc_id"]])) else None for s in r["spans"]] for r in secret_scan.scan(df).collect()}
+    n = len(random_strings())
+    found = sum(got[i] == [made[i]] for i in range(n))
+    false = [made[i] for i in range(n, len(made)) if got[i]]
+    assert found >= 0.95 * n and not false, (found, n, false)
 
 
 def test_overlapping_spans_redact_once(spark):
@@ -89,8 +108,8 @@ def test_pipeline_near_copies(stages):
     assert {r["doc_id"] for r in stages["near"].collect()} == {i for i, c in want.items() if i == c}
 
 
-def test_identifiers_of_every_document_are_learnt(spark, tmp_path):
-    """More documents than the former sample's 2,000: identifiers that one document has are ordinary, as in the SQL."""
+def test_words_of_every_document_are_learnt(spark, tmp_path):
+    """Words that one document of many has are ordinary, as in the SQL."""
     import duckdb
 
     rare = ["zqxj", "vkwq", "jxqz", "qvzx", "xkqj", "wzvq", "kqzj", "jvxw"]
