@@ -1,3 +1,3 @@
 from .expressions import (  # noqa: F401
-    add_intercept, irls_weight, linear_predictor, log_loss_term, residual, sigmoid, uniform,
+    irls_weight, linear_predictor, log_loss_term, residual, sigmoid, uniform,
 )

@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 EPS = 1e-10
 
 
-def add_intercept(features: Sequence[str], intercept: str = "x0") -> list[Column]:
-    """A constant 1.0 column in front of ``features``."""
-    return [F.lit(1.0).alias(intercept), *(F.col(f) for f in features)]
-
-
 def linear_predictor(features: Sequence[str], beta: Sequence[float]) -> Column:
     if len(features) != len(beta):
         raise ValueError(f"{len(features)} features but {len(beta)} coefficients")

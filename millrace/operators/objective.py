@@ -78,8 +78,12 @@ def batch_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, hessian: bool) ->
     return np.concatenate(parts)
 
 
+#: Tasks that add up the partial sums before the driver does.
+ADDERS = 32
+
+
 class BlocksObjective:
-    """Partial sums per task by NumPy; the sums of all tasks meet by position in a small aggregate."""
+    """Partial sums per task by NumPy, one array a task with the Hessian's upper triangle; they are added up in two steps."""
 
     def __init__(self, df: DataFrame, features: Sequence[str], label: str, n: int):
         self.k, self.n = len(features), n
@@ -87,6 +91,7 @@ class BlocksObjective:
 
     def __call__(self, beta: Sequence[float], hessian: bool) -> Evaluation:
         b, k = np.asarray(beta, dtype=float), self.k
+        triangle = np.triu_indices(k)
 
         def partial(batches):
             import pyarrow as pa
@@ -98,14 +103,25 @@ class BlocksObjective:
                     sums = batch_sums(x, batch.column("y").to_numpy(zero_copy_only=False), b, hessian)
                     total = sums if total is None else total + sums
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["pos", "v"])
-
-        rows = self.df.mapInArrow(partial, "pos int, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
-        sums = np.zeros(1 + k + (k * k if hessian else 0))
-        for r in rows:
-            sums[r["pos"]] = r["v"]
-        sums /= self.n
-        return Evaluation(float(sums[0]), sums[1 : 1 + k], sums[1 + k :].reshape(k, k) if hessian else None)
+                if hessian:
+                    total = np.concatenate([total[: 1 + k], total[1 + k :].reshape(k, k)[triangle]])
+                yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
+
+        def added(batches):
+            import pyarrow as pa
+
+            parts = [np.array(batch.column("v").to_pylist()).sum(axis=0) for batch in batches if batch.num_rows]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0)])], names=["v"])
+
+        rows = self.df.mapInArrow(partial, "v array<double>").repartition(ADDERS).mapInArrow(added, "v array<double>").collect()
+        sums = np.sum([r["v"] for r in rows], axis=0) / self.n
+        full = None
+        if hessian:
+            full = np.zeros((k, k))
+            full[triangle] = sums[1 + k :]
+            full += np.triu(full, 1).T
+        return Evaluation(float(sums[0]), sums[1 : 1 + k], full)
 
 
 def gradient_frame(df: DataFrame, features: Sequence[str], label: str, beta: Sequence[float], n: int | None = None) -> DataFrame:

@@ -43,6 +43,11 @@ def synth_fits(spark: SparkSession, *algos: str):
     return [fits[a]() for a in algos]
 
 
+def both_fits(spark: SparkSession):
+    """Both solvers on the same six coefficients, with the reference settings."""
+    return synth_fits(spark, "gd", "newton")
+
+
 def binding_newton(binding: bindings.Binding, spark: SparkSession, tol: float = 1e-10) -> DataFrame:
     fit = fit_newton(binding.df, binding.features, binding.label, tol=tol)
     return rounded(report.coefficients(spark, [fit]).select("idx", "estimate"))
@@ -65,6 +70,13 @@ def wide_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.coefficients(spark, [fit]).select("idx", "estimate"))
 
 
+def wide_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradient, by the ``agg`` expressions, where the ``blocks`` fit ended: zero only at the one optimum."""
+    b = bindings.embeddings_binary(spark, sf_dir)
+    fit = fit_newton(b.df, b.features, b.label, backend="blocks", tol=1e-9)
+    return rounded(gradient_frame(b.df, b.features, b.label, fit.beta))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     gd_cols = ["idx", "estimate", "iterations"]
     return {
@@ -84,21 +96,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "step_norm": lambda s, d: step_norm(s),
         "gd_trace_25": lambda s, d: rounded(report.trace(s, fit_gradient_descent(data(s), NAMES, "y", max_iter=25))),
         "gd_fit": lambda s, d: rounded(report.coefficients(s, f := synth_fits(s, "gd")).withColumn("iterations", F.lit(f[0].iterations).cast("bigint")).select(*gd_cols)),
-        "newton_trace": lambda s, d: rounded(report.trace(s, fit_newton(data(s), ["x0", "x5"], "y"))),
-        "newton_fit": lambda s, d: rounded(report.coefficients(s, [fit_newton(data(s), NAMES, "y", tol=1e-10)]).select("idx", "estimate")),
+        "newton_trace": lambda s, d: rounded(report.trace(s, *synth_fits(s, "newton"))),
+        "newton_trace_2": lambda s, d: rounded(report.trace(s, fit_newton(data(s), ["x0", "x5"], "y"))),
+        "newton_fit": lambda s, d: rounded(report.coefficients(s, f := synth_fits(s, "newton")).withColumn("iterations", F.lit(f[0].iterations).cast("bigint")).select(*gd_cols)),
         "newton_singular": lambda s, d: singular(s),
-        "fit_summary": lambda s, d: rounded(report.summary(s, [synth_fits(s, "gd")[0], fit_newton(data(s), ["x0", "x5"], "y")])),
-        "estimates_vs_truth": lambda s, d: rounded(report.against_truth(report.coefficients(s, [*synth_fits(s, "gd"), fit_newton(data(s), NAMES, "y", tol=1e-10)]), synth.truth_table(s, CFG))),
-        "last_loss": lambda s, d: rounded(report.last_loss(report.history(s, [synth_fits(s, "gd")[0], fit_newton(data(s), ["x0", "x5"], "y")]))),
+        "fit_summary": lambda s, d: rounded(report.summary(s, both_fits(s))),
+        "estimates_vs_truth": lambda s, d: rounded(report.against_truth(report.coefficients(s, both_fits(s)), synth.truth_table(s, CFG))),
+        "last_loss": lambda s, d: rounded(report.last_loss(report.history(s, both_fits(s)))),
         "progress_gd": lambda s, d: rounded(report.progress(s, synth_fits(s, "gd")[0])),
-        "progress_newton": lambda s, d: rounded(report.progress(s, fit_newton(data(s), ["x0", "x5"], "y"))),
-        "loss_curves": lambda s, d: rounded(report.loss_curves(report.history(s, [synth_fits(s, "gd")[0], fit_newton(data(s), ["x0", "x5"], "y")]))),
+        "progress_newton": lambda s, d: rounded(report.progress(s, *synth_fits(s, "newton"))),
+        "loss_curves": lambda s, d: rounded(report.loss_curves(report.history(s, both_fits(s)))),
         "lineitem_planted_label_rate": lambda s, d: bindings.lineitem_planted(s, d).df.agg(F.sum("y").cast("bigint").alias("positives"), F.count("y").alias("n")),
         "lineitem_planted_gradient": lambda s, d: rounded(gradient_frame(*(lambda b: (b.df, b.features, b.label))(bindings.lineitem_planted(s, d)), PROBE_LINEITEM)),
         "lineitem_planted_hessian": lambda s, d: rounded(hessian_frame(*(lambda b: (b.df, b.features, b.label))(bindings.lineitem_planted(s, d)), PROBE_LINEITEM)),
         "lineitem_planted_newton": lambda s, d: binding_newton(bindings.lineitem_planted(s, d), s),
         "labels_quality_newton": lambda s, d: binding_newton(bindings.labels_quality(s, d), s),
         "embeddings_binary_newton": wide_evaluation,
+        "embeddings_binary_optimum": wide_optimum,
     }
 
 
@@ -166,13 +180,26 @@ def _gd_cte(names, lr: float, max_iter: int, tol: float, name: str = "gd") -> st
             f"(SELECT g.*, d.*, {_sig(eta)} AS pr FROM (SELECT it, {', '.join(bs)}, step FROM {name}) g, data d WHERE g.it < {max_iter} AND g.step >= {_d(tol)}) t GROUP BY it, {', '.join(bs)}) s)")
 
 
-def _newton_cte(a: str, b: str, max_iter: int, tol: float) -> str:
-    """Two-parameter Newton with the closed form of the 2x2 solve."""
-    return (f"nt(it, loss, b0, b1, step) AS (SELECT CAST(0 AS BIGINT), 0e0, 0e0, 0e0, 1e300 UNION ALL "
-            f"SELECT it + 1, loss, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), "
-            f"sqrt(pow((h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), 2) + pow((h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01), 2)) FROM "
-            f"(SELECT it, b0, b1, -avg({_term()}) AS loss, avg((pr - y) * {a}) AS g0, avg((pr - y) * {b}) AS g1, avg(pr * (1 - pr) * {a} * {a}) AS h00, avg(pr * (1 - pr) * {a} * {b}) AS h01, avg(pr * (1 - pr) * {b} * {b}) AS h11 FROM "
-            f"(SELECT n.*, d.*, {_sig(f'd.{a} * n.b0 + d.{b} * n.b1')} AS pr FROM (SELECT it, b0, b1, step FROM nt) n, data d WHERE n.it < {max_iter} AND n.step >= {_d(tol)}) t GROUP BY it, b0, b1) s)")
+def _newton_cte(names, max_iter: int, tol: float, name: str = "nt") -> str:
+    """Newton as a recursive CTE over ``data``: it, loss (pre-update), b0.., step. The symmetric system is solved by elimination, a subquery a pivot."""
+    k = len(names)
+    bs, gs = [f"b{i}" for i in range(k)], [f"g{i}" for i in range(k)]
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    eta = " + ".join(f"d.{n} * g.{b}" for n, b in zip(names, bs, strict=True))
+    sums = [f"avg((pr - y) * {n}) AS g{i}" for i, n in enumerate(names)] + [f"avg(pr * (1 - pr) * {names[i]} * {names[j]}) AS h{i}_{j}" for i, j in cells]
+    inner = (f"SELECT it, {', '.join(bs)}, -avg({_term()}) AS loss, {', '.join(sums)} FROM (SELECT g.*, d.*, {_sig(eta)} AS pr FROM (SELECT it, {', '.join(bs)}, step FROM {name}) g, data d "
+             f"WHERE g.it < {max_iter} AND g.step >= {_d(tol)}) t GROUP BY it, {', '.join(bs)}")
+    head = f"it, {', '.join(bs)}, loss"
+    for p in range(k - 1):  # forward: row p leaves the rows below it
+        g = [f"g{i}" if i <= p else f"g{i} - h{p}_{i} / h{p}_{p} * g{p} AS g{i}" for i in range(k)]
+        h = [f"h{i}_{j}" if i <= p else f"h{i}_{j} - h{p}_{i} / h{p}_{p} * h{p}_{j} AS h{i}_{j}" for i, j in cells]
+        inner = f"SELECT {head}, {', '.join(g + h)} FROM ({inner}) e{p}"
+    for p in range(k - 1, -1, -1):  # back: the step's components from the last to the first
+        known = "".join(f" - h{p}_{j} * s{j}" for j in range(p + 1, k))
+        inner = f"SELECT *, (g{p}{known}) / h{p}_{p} AS s{p} FROM ({inner}) r{p}"
+    new, length = ", ".join(f"b{i} - s{i}" for i in range(k)), " + ".join(f"s{i} * s{i}" for i in range(k))
+    return (f"{name}(it, loss, {', '.join(bs)}, step) AS (SELECT CAST(0 AS BIGINT), 0e0, {', '.join(['0e0'] * k)}, 1e300 UNION ALL "
+            f"SELECT it + 1, loss, {new}, sqrt({length}) FROM ({inner}) s)")
 
 
 def _final(cte: str, k: int, algo: str | None = None) -> str:
@@ -183,8 +210,7 @@ def _final(cte: str, k: int, algo: str | None = None) -> str:
 
 def oracle_sql() -> dict[str, str]:
     s, li = _synth_ctes(), _lineitem_ctes()
-    gd, nt = _gd_cte(NAMES, 0.5, 1000, 1e-6), _newton_cte("x0", "x5", 100, 1e-6)
-    tight = _gd_cte(NAMES, 3.0, 5000, 1e-11, "tight")
+    gd, nt = _gd_cte(NAMES, 0.5, 1000, 1e-6), _newton_cte(NAMES, 100, 1e-6)
     probed = f"(SELECT *, {_sig(_eta(NAMES, PROBE))} AS pr FROM data)"
     li_names = NAMES[:5]
     li_probed = f"(SELECT *, {_sig(_eta(li_names, PROBE_LINEITEM))} AS pr FROM data)"
@@ -221,11 +247,12 @@ def oracle_sql() -> dict[str, str]:
         "step_norm": f"WITH {s} SELECT {_r('sqrt(' + ' + '.join(f'pow(0.5e0 * g{i}, 2)' for i in range(6)) + ')')} AS norm FROM (SELECT " + ", ".join(f"sum((0.5e0 - y) * {n}) / count(*) AS g{i}" for i, n in enumerate(NAMES)) + " FROM data)",
         "gd_trace_25": f"WITH RECURSIVE {s}, {_gd_cte(NAMES, 0.5, 25, 1e-6)} SELECT it AS iteration, {_r('loss')} AS loss, {bs} FROM gd WHERE it > 0",
         "gd_fit": rec + f"SELECT idx, {_r('estimate')} AS estimate, iterations FROM ({_final('gd', 6)})",
-        "newton_trace": f"WITH RECURSIVE {s}, {nt} SELECT it AS iteration, {_r('loss')} AS loss, {_r('b0')} AS b0, {_r('b1')} AS b1 FROM nt WHERE it > 0",
-        "newton_fit": newton_by_gd(s, NAMES),
+        "newton_trace": f"WITH RECURSIVE {s}, {nt} SELECT it AS iteration, {_r('loss')} AS loss, {bs} FROM nt WHERE it > 0",
+        "newton_trace_2": f"WITH RECURSIVE {s}, {_newton_cte(['x0', 'x5'], 100, 1e-6)} SELECT it AS iteration, {_r('loss')} AS loss, {_r('b0')} AS b0, {_r('b1')} AS b1 FROM nt WHERE it > 0",
+        "newton_fit": f"WITH RECURSIVE {s}, {nt} SELECT idx, {_r('estimate')} AS estimate, iterations FROM ({_final('nt', 6)})",
         "newton_singular": "SELECT 'singular' AS status, CAST(1 AS BIGINT) AS iterations",
         "fit_summary": both + hist + f"SELECT algo, max(iteration) AS iterations, 'converged' AS status, {_r('arg_max(loss, iteration)')} AS last_loss FROM hist GROUP BY algo",
-        "estimates_vs_truth": f"WITH RECURSIVE {s}, {gd}, {tight} SELECT algo, e.idx, {_r('estimate')} AS estimate, {_r('truth')} AS truth, {_r('abs(estimate - truth)')} AS abs_error FROM ({_final('gd', 6, 'gd')} UNION ALL {_final('tight', 6, 'newton')}) e JOIN {truth} ON e.idx = t.idx",
+        "estimates_vs_truth": f"WITH RECURSIVE {s}, {gd}, {nt} SELECT algo, e.idx, {_r('estimate')} AS estimate, {_r('truth')} AS truth, {_r('abs(estimate - truth)')} AS abs_error FROM ({_final('gd', 6, 'gd')} UNION ALL {_final('nt', 6, 'newton')}) e JOIN {truth} ON e.idx = t.idx",
         "last_loss": both + hist + f"SELECT algo, {_r('arg_max(loss, iteration)')} AS last_loss FROM hist GROUP BY algo",
         "progress_gd": rec + f"SELECT it AS iteration, {_r('loss')} AS loss FROM gd WHERE it > 0 AND (it - 1) % 100 = 0 AND NOT (step < 1e-6)",
         "progress_newton": f"WITH RECURSIVE {s}, {nt} SELECT it AS iteration, {_r('loss')} AS loss FROM nt WHERE it > 0 AND it % 5 = 0 AND NOT (step < 1e-6)",
@@ -235,4 +262,5 @@ def oracle_sql() -> dict[str, str]:
         "lineitem_planted_hessian": f"WITH {li} " + hess(li_names, li_probed),
         "lineitem_planted_newton": newton_by_gd(li, li_names),
         "labels_quality_newton": newton_by_gd(quality, NAMES[:3]),
+        "embeddings_binary_optimum": "SELECT CAST(range AS INTEGER) AS idx, 0e0 AS grad FROM range(65)",
     }
