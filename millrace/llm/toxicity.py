@@ -22,13 +22,13 @@ import re
 import uuid
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .bpe import texts
 from .common import crc_fold, kept, saved
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,33 +38,24 @@ LEAST_WEIGHT = 1.0
 NEIGHBOURS, BLOCK, EVIDENCE = 30, 256, 3
 #: Votes at the prior share that stand beside the neighbours' ones.
 PRIOR_VOTES = 1.0
-#: Bytes of blank-free tokens that a worker remembers with their terms.
-MEMO_BYTES = 48_000_000
 
 
 class Vocabulary:
-    """Bag of known terms of a whole text; a memo maps blank-free tokens to their terms."""
+    """Known terms of whole texts."""
 
     def __init__(self, known: dict[str, int]):
-        self.known, self.memo, self.held = known, {}, 0
-
-    def token(self, token: bytes) -> tuple[int, ...]:
-        out = tuple(i for w in WORD.findall(token.decode("utf-8", "replace").lower()) if (i := self.known.get(w)) is not None)
-        size = len(token) + 190 + 40 * len(out)
-        if self.held + size > MEMO_BYTES:
-            self.memo.clear()
-            self.held = 0
-        if size <= MEMO_BYTES:
-            self.memo[token] = out
-            self.held += size
-        return out
-
-    def terms(self, data: bytes) -> list[int]:
-        memo, out = self.memo, []
-        for token in data.split():
-            found = memo.get(token)
-            out += self.token(token) if found is None else found
-        return out
+        self.known = known
+
+    def terms(self, text: str) -> list[int]:
+        get = self.known.get
+        return [i for w in WORD.findall(text.lower()) if (i := get(w)) is not None]
+
+
+def strings(column) -> list[str]:
+    """An Arrow string column, null as empty."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(column, "").to_pylist()
 
 
 class BlockMaxIndex:
@@ -174,7 +165,7 @@ def bags_of(rows: DataFrame) -> list[tuple[object, int, dict[str, int]]]:
         import pyarrow as pa
 
         for batch in batches:
-            found = [Counter(WORD.findall(data.decode("utf-8", "replace").lower())) for data in texts(batch.column(2))]
+            found = [Counter(WORD.findall(text.lower())) for text in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(b) for b in found], pa.list_(pa.string())), pa.array([list(b.values()) for b in found], pa.list_(pa.int32()))], names=["id", "y", "t", "n"])
 
     frame = rows.select("id", "y", "text")
@@ -193,9 +184,12 @@ def frequencies(rows: DataFrame, known: dict[str, int], classes: int) -> np.ndar
         vocabulary = kept("terms", token, lambda: Vocabulary(shared.value))
         total = np.zeros((classes, width), dtype=np.int64)
         for batch in batches:
-            for data, c in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                total[c, list(set(vocabulary.terms(data)))] += 1
-                total[c, -1] += 1
+            of = batch.column(1).to_numpy()
+            sets = [set(vocabulary.terms(text)) for text in strings(batch.column(0))]
+            for c in range(classes):
+                mine = [t for t, k in zip(sets, of.tolist(), strict=True) if k == c]
+                total[c] += np.bincount(np.fromiter(chain.from_iterable(mine), dtype=np.int64), minlength=width)
+                total[c, -1] += len(mine)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
 
@@ -250,11 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     share = (total[0] / max(1, count[0])) / max(1e-9, total[1] / max(1, count[1]))
     prior = (total[1] + 0.5) / (total[0] + total[1] + 1.0)
     model = Model(known, idf * np.maximum(z, LEAST_WEIGHT) ** 2, BlockMaxIndex([], len(known)), np.zeros(0), [], share, prior)
-    # Examples alike in their weightiest terms get neighbouring numbers: a block is good for few queries, and its bound says so.
-    every = [(model.vector([known[t] for t, c in b.items() for _ in range(c)]), i, y) for i, y, b in seen]
-    every.sort(key=lambda p: p[0][0][np.lexsort((p[0][0], -p[0][1]))][:8].tolist() or [-1])
-    model.index = BlockMaxIndex([v for v, _, _ in every], len(known))
-    model.ids, model.labels = [i for _, i, _ in every], np.array([y for _, _, y in every], dtype=np.int64)
+    # Examples alike in label, commonest word (so in language) and weightiest terms get neighbouring numbers: a block is good for few queries, and its bound says so.
+    every = [(model.vector([known[t] for t, c in b.items() for _ in range(c)]), i, y, max(b, key=lambda t: (b[t], t), default="")) for i, y, b in seen]
+    every.sort(key=lambda p: (p[2], p[3], p[0][0][np.lexsort((p[0][0], -p[0][1]))][:4].tolist()))
+    model.index = BlockMaxIndex([p[0] for p in every], len(known))
+    model.ids, model.labels = [p[1] for p in every], np.array([p[2] for p in every], dtype=np.int64)
     votes = calibration_votes(rows.filter(F.col("u") < by_label(tuned)), model)
     rate = {y: total[y] / max(1, sum(1 for _, v in votes if v == y)) for y in total}
     blank = [y for v, y in votes if v is None]
@@ -277,7 +271,7 @@ def calibration_votes(rows: DataFrame, model: Model) -> list[tuple[float | None,
 
         vocabulary = Vocabulary(shared.value.known)
         for batch in batches:
-            near = [shared.value.near(vocabulary.terms(data)) for data in texts(batch.column(0))]
+            near = [shared.value.near(vocabulary.terms(data)) for data in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([shared.value.vote(*x) if len(x[0]) else None for x in near], pa.float64()), batch.column(1)], names=["v", "y"])
 
     out = sorted(((r["v"], r["y"]) for r in rows.select("text", "y").mapInArrow(run, "v double, y int").collect()), key=str)
@@ -308,7 +302,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         scorer = kept("toxicity", token, lambda: Scorer(shared.value))
         for batch in batches:
             scores, proofs = [], []
-            for data in texts(batch.column(2)):
+            for data in strings(batch.column(2)):
                 s, proof = scorer(data)
                 scores.append(s)
                 proofs.append(proof)
@@ -326,11 +320,11 @@ class Scorer:
         self.model = model
         self.vocabulary = Vocabulary(model.known) if model else None
 
-    def __call__(self, data: bytes) -> tuple[float, list[dict]]:
+    def __call__(self, text: str) -> tuple[float, list[dict]]:
         model = self.model
         if model is None:
             return 0.0, []
-        numbers, cosines = model.near(self.vocabulary.terms(data))
+        numbers, cosines = model.near(self.vocabulary.terms(text))
         first = zip(numbers[:EVIDENCE].tolist(), cosines[:EVIDENCE].tolist(), strict=True)
         return model.score(numbers, cosines), [{"doc_id": int(model.ids[n]), "similarity": s, "toxic": int(model.labels[n])} for n, s in first]
 
@@ -349,6 +343,6 @@ def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
         scorer = kept("toxicity", token, lambda: Scorer(shared.value))
         for batch in batches:
-            yield batch.filter(pa.array([scorer(data)[0] < 0.5 for data in texts(batch.column(at))], pa.bool_()))
+            yield batch.filter(pa.array([scorer(text)[0] < 0.5 for text in strings(batch.column(at))], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
