@@ -53,6 +53,25 @@ def crc_fold(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5, F.lit(0))
 
 
+#: Keys whose rows are spread by dealt_joins. Any other key has less than a share of 1 / HOT of the rows.
+HOT = 1000
+
+
+def dealt_joins(rows: DataFrame, keys: DataFrame, key: str, size: str, by: Column, how: str) -> DataFrame:
+    """rows joined with ``keys`` (saved, one row a key, with the number of its rows in ``size``) where any key may have most of the rows.
+
+    The HOT largest keys are broadcast, which is bounded by their number, so that each of their rows
+    draws a task by the hash ``by``; in ``keys`` these have a copy for each. Others meet as in any join.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = keys.orderBy(F.desc(size), key).limit(HOT).select(F.col(key).alias("__hot"))
+    spread = F.when(F.col("__hot").isNotNull(), F.pmod(by, F.lit(tasks)).cast("int")).otherwise(F.lit(0))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__task", spread).drop("__hot")
+    copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(0)))
+    right = keys.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__task", F.explode(copies)).drop("__hot")
+    return left.join(right.hint("merge"), [key, "__task"], how).drop("__task")
+
+
 #: Kind, key and object: what the last operator of this Python worker left for the next task.
 _KEPT: list = [None, None, None]
 

@@ -7,7 +7,8 @@
 
 The full normalised text is part of the key at every stage, so two texts with one digest are
 never merged. Rows find their group again by digest alone, unless a digest with two texts
-exists; then they find it by digest and text.
+exists; then they find it by digest and text. The rows of the HOT largest groups are dealt over
+all tasks for that, each task with its own copy of the group.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, saved
+from .common import ascii_lower, dealt_joins, saved
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16,
@@ -39,7 +40,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     if clash:
         found = keyed.join(groups.withColumn("text_sha256", F.sha2("norm", 256)), ["digest", "norm"])
     else:
-        found = keyed.select("id", "digest").join(table, "digest")
+        found = dealt_joins(keyed.select("id", "digest"), table, "digest", "group_size", F.xxhash64("id"), "inner")
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

@@ -4,6 +4,7 @@ Lines are exploded with their positions and hashed by their key; each document s
 distinct hash once, so the count (with map-side partials) is of documents. Hashes at or over
 the threshold meet the exploded lines by hash, which gives each document the positions it
 loses; its other lines are put together again by position. Text is shuffled once, by document.
+The commonest lines' rows are dealt over all tasks.
 """
 
 from __future__ import annotations
@@ -11,10 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
-
-#: Tasks that share the rows of one line.
-SALTS = 8
+from .common import BLANKS, ascii_lower, dealt_joins, saved
 
 
 def line_hashes(text: Column, min_chars: int) -> Column:
@@ -41,12 +39,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(source).alias("key"), source.alias("text"))
     hashed = rows.select("id", "key", line_hashes(F.col("text"), min_chars).alias("hashes"))
     frequent = (hashed.select(F.explode(F.array_distinct("hashes")).alias("h")).filter("h IS NOT NULL")
-                .groupBy(F.unhex("h").alias("h")).agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= threshold).select("h"))
+                .groupBy(F.unhex("h").alias("h")).agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= threshold))
     lines = hashed.select("id", "key", F.posexplode("hashes").alias("pos", "h")).filter("h IS NOT NULL").withColumn("h", F.unhex("h"))
-    # A line may be in every document: the rows of a hash are dealt over SALTS tasks, each with its own copy of the hash.
-    lines = lines.withColumn("salt", F.pmod(F.xxhash64("id", "key", "pos"), F.lit(SALTS)).cast("int"))
-    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lost = lines.join(frequent, ["h", "salt"], "left_semi").groupBy("id", "key").agg(F.collect_set("pos").alias("lost"))
+    # A line may be in every document: the commonest ones' rows are dealt over all tasks.
+    found = dealt_joins(lines, saved(frequent, "frequent"), "h", "docs", F.xxhash64("id", "key", "pos"), "left_semi")
+    lost = found.groupBy("id", "key").agg(F.collect_set("pos").alias("lost"))
     lost = lost.select(F.col("id").alias("lost_id"), F.col("key").alias("lost_key"), "lost")
     both = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("key") == F.col("lost_key")), "left")
     both = both.select("row", "text", "lost", F.split("text", "\n").alias("lines"))

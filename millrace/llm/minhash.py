@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .bpe import texts
-from .common import discard, kept, saved
+from .common import BLANKS, discard, saved
 from .graph import components
 
 TREES, BASE, DEPTH = 24, 4, 12
@@ -37,8 +37,8 @@ LOOSE, SLACK = 0.5, 0.2
 SMALL = 8
 #: Documents and shingles of a block, which one task holds.
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
-#: Bytes of words that a worker remembers with their hashes.
-MEMO_BYTES = 24_000_000
+#: Bytes of text whose words are hashed in one go.
+SLICE = 1 << 18
 #: Rows of the sorted orders that are paired in one go.
 CHUNK = 65_536
 
@@ -54,27 +54,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """Words (bytes) and their 64-bit hashes, emptied when they take MEMO_BYTES."""
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo 2^64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-    held = 0
 
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        size = len(word) + 200  # with the objects' and the table's own
-        if self.held + size > MEMO_BYTES:
-            self.clear()
-            self.held = 0
-        if size <= MEMO_BYTES:
-            self[word] = h
-            self.held += size
-        return h
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[ord(c) for c in BLANKS]] = True
+_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = int(_RNG.integers(0, 1 << 61)) * 8 + 5
+_UP, _DOWN = powers(_BASE, SLICE), powers(pow(_BASE, -1, 1 << 64), SLICE)
+
+
+def bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the blank-separated words of UTF-8 bytes."""
+    blank = np.concatenate([[True], _BLANK[raw], [True]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """Of the blank-separated words of A-Z-lower-cased UTF-8 text."""
-    words = data.lower().split()
-    return np.fromiter(map(kept("words", "", WordHashes).__getitem__, words), dtype=np.uint64, count=len(words))
+    """Of the blank-separated words of A-Z-lower-cased UTF-8 text: differences of running sums of byte values times powers, so one pass hashes all words.
+
+    The sums start anew in slices of about SLICE bytes, cut between words; a longer word has a slice of its own.
+    """
+    raw = np.frombuffer(data.lower(), dtype=np.uint8)
+    starts, ends = bounds(raw)
+    out, done = np.zeros(len(starts), dtype=np.uint64), 0
+    while done < len(starts):
+        low = starts[done]
+        last = max(done + 1, int(np.searchsorted(ends, low + SLICE, side="right")))
+        part = raw[low : ends[last - 1]]
+        up, down = (_UP, _DOWN) if len(part) <= SLICE else (powers(_BASE, len(part)), powers(pow(_BASE, -1, 1 << 64), len(part)))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        s, e = starts[done:last] - low, ends[done:last] - low
+        out[done:last] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        done = last
+    return out
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

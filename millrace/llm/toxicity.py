@@ -34,10 +34,10 @@ from .common import crc_fold, kept, saved
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit, rows of each label (expected): sampled in all, in the index, and for calibration. The rest of the sample counts for term weights, beside the index.
 SAMPLED_PER_LABEL, INDEXED_PER_LABEL, CALIBRATION_PER_LABEL = 8_000, 1_000, 1_000
-LEAST_WEIGHT = 1.0
+LEAST_WEIGHT, SURENESS = 1.0, 1.5
 NEIGHBOURS, BLOCK, EVIDENCE = 30, 256, 3
 #: Votes at the prior share that stand beside the neighbours' ones.
-PRIOR_VOTES = 1.0
+PRIOR_VOTES = 0.3
 
 
 class Vocabulary:
@@ -225,9 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not n[0] + n[1]:
         return None
-    # Of each label's sample one eighth at most is for calibration and half at most is indexed.
-    tuned = {y: min(0.125, CALIBRATION_PER_LABEL / max(1, n[y])) for y in n}
-    listed = {y: min(0.75, INDEXED_PER_LABEL / max(1, n[y])) for y in n}
+    # Of each label's sample a quarter at most is for calibration; of the rest as many as may are indexed, and all count.
+    tuned = {y: min(0.25, CALIBRATION_PER_LABEL / max(1, n[y])) for y in n}
+    listed = {y: min(1.0, INDEXED_PER_LABEL / max(1, n[y])) for y in n}
     by_label = lambda d: F.when(F.col("y") == 1, F.lit(d[1])).otherwise(F.lit(d[0]))
     learnt = rows.filter(F.col("u") >= by_label(tuned))
     seen = bags_of(learnt.filter(F.col("u") < by_label(tuned) + by_label(listed)))
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     count = Counter(y for _, y, _ in seen)
     share = (total[0] / max(1, count[0])) / max(1e-9, total[1] / max(1, count[1]))
     prior = (total[1] + 0.5) / (total[0] + total[1] + 1.0)
-    model = Model(known, idf * np.maximum(z, LEAST_WEIGHT) ** 2, BlockMaxIndex([], len(known)), np.zeros(0), [], share, prior)
+    model = Model(known, idf * np.maximum(z, LEAST_WEIGHT) ** SURENESS, BlockMaxIndex([], len(known)), np.zeros(0), [], share, prior)
     # Examples alike in label, commonest word (so in language) and weightiest terms get neighbouring numbers: a block is good for few queries, and its bound says so.
     every = [(model.vector([known[t] for t, c in b.items() for _ in range(c)]), i, y, max(b, key=lambda t: (b[t], t), default="")) for i, y, b in seen]
     every.sort(key=lambda p: (p[2], p[3], p[0][0][np.lexsort((p[0][0], -p[0][1]))][:4].tolist()))

@@ -120,3 +120,21 @@ def test_words_of_every_document_are_learnt(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert got == sorted(con.execute(registry.secret_sql()).fetchall())
     assert not any(r[-1] for r in got)
+
+
+@pytest.mark.parametrize("table", [edge, empty])
+def test_stages_on_edge_tables(spark, table, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names, and no row at all."""
+    import corpus_pipeline
+    from millrace.llm.common import saved
+
+    spark.createDataFrame([(1, 0, 1), (6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = table(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now.count(), saved(stage(spark, now, str(tmp_path)), name)
+        assert now.schema.simpleString() == table(spark).schema.simpleString() and now.count() <= before
+    kept = {r["doc_id"]: r["text"] for r in now.collect()}
+    if table is edge:
+        assert {3, 4, 6, 7, 8, 9} <= set(kept) and "[SECRET]" in kept[7] and kept[4] == " \n\t "
+    ids = {r["doc_id"] for r in corpus_pipeline.pack_sequences(spark, now, str(tmp_path)).collect()}
+    assert ids == set(kept)
