@@ -38,6 +38,8 @@ LEAST_WEIGHT, SURENESS = 1.0, 1.5
 NEIGHBOURS, BLOCK, EVIDENCE = 30, 256, 3
 #: Votes at the prior share that stand beside the neighbours' ones.
 PRIOR_VOTES = 0.3
+#: Rows at the prior share that stand beside calibration rows without a neighbour.
+BLANK_ROWS = 10.0
 
 
 class Vocabulary:
@@ -253,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rate = {y: total[y] / max(1, sum(1 for _, v in votes if v == y)) for y in total}
     blank = [y for v, y in votes if v is None]
     a, b = (sum(rate[y] for y in blank if y == c) for c in (1, 0))
-    model.empty = (a + prior) / (a + b + 1.0)
+    model.empty = (a + BLANK_ROWS * prior) / (a + b + BLANK_ROWS)
     votes = [(v, y) for v, y in votes if v is not None]
     if len({y for _, y in votes}) == 2:
         y = np.array([float(y) for _, y in votes])

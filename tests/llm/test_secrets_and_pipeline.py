@@ -128,7 +128,7 @@ def test_stages_on_edge_tables(spark, table, tmp_path):
     import corpus_pipeline
     from millrace.llm.common import saved
 
-    spark.createDataFrame([(1, 0, 1), (6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, 0, 1), (6, 1, 0), (7, 1, 0), (8, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now = table(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before, now = now.count(), saved(stage(spark, now, str(tmp_path)), name)
