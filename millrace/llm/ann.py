@@ -140,6 +140,8 @@ def link_back(points: np.ndarray, links: np.ndarray, new: np.ndarray, forward: n
     """Adds each new node to the links of those it links to; where there is no room the diversity rule decides."""
     u, v = np.repeat(new, forward.shape[1]), forward.ravel()
     u, v = u[v >= 0], v[v >= 0]
+    if not len(u):
+        return
     order = np.lexsort((-np.einsum("nd,nd->n", points[u], points[v]), v))
     u, v = u[order], v[order]
     first, lengths = runs(v)
